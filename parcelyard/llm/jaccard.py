@@ -14,6 +14,8 @@ large groups of near copies are not paired out. Large blocks are searched tile b
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -24,13 +26,14 @@ from parcelyard.llm.components import components
 from parcelyard.llm.shared import stored
 from parcelyard.llm.text import ASCII_SPACE, U64, as_bytes, chunks, lower_ascii, mix, span_hashes, word_table, words
 
-GROUPS = 64
-#: Entries of the table of approximate token counts, and how many times the mean count makes a token frequent.
-SKETCH_BITS, FREQUENT = 16, 1.25
+GROUPS, FULL = 256, 255
+#: Entries of the table of approximate token counts, in how many pieces it is summed, and how many times the mean count
+#: makes a token frequent.
+SKETCH_BITS, PIECES, FREQUENT = 18, 64, 1.2
 #: Min-hash tokens by which groups of near copies are linked first; their least count of orders.
 STARS = 6
 #: Points of an R-tree leaf, and members of a block that one tile holds.
-LEAF, TILE = 16, 512
+LEAF, TILE = 24, 512
 _SPACE = word_table(ASCII_SPACE)
 
 
@@ -64,15 +67,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.n
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts of a set's tokens by group; counts beyond the type's range stop at it, which the bound allows for."""
-    return np.minimum(np.bincount((tokens & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+    """Counts of a set's tokens by group; counts stop at FULL, which the bound allows for."""
+    return np.minimum(np.bincount((tokens & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Most tokens that sets of these points can share."""
     most = np.minimum(a, b)
     total = most.sum(-1, dtype=np.int64)
-    return np.where((most == 65535).any(-1), np.int64(1) << 60, total)
+    return np.where(most.max(-1) == FULL, np.int64(1) << 60, total)
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -81,42 +84,61 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 class RTree:
-    """Bulk-loaded R-tree over points, split at the median of the widest group; boxes keep the group-wise largest counts."""
+    """Bulk-loaded R-tree over points, split at the median of the widest group (or of size, where sizes differ much).
+
+    A node keeps the group-wise largest counts of its points, their least and largest set size, and their component if it
+    is but one.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, components: np.ndarray):
+        self.points, self.sizes, self.components = points, sizes, components
         self.nodes: list[tuple] = []
         self._build(np.arange(len(points)))
 
     def _build(self, at: np.ndarray) -> int:
         own, box = len(self.nodes), self.points[at]
         self.nodes.append(())
-        low, high = self.sizes[at].min(), self.sizes[at].max()
+        top, low, high = box.max(0), int(self.sizes[at].min()), int(self.sizes[at].max())
+        comps = self.components[at]
+        only = int(comps[0]) if (comps == comps[0]).all() else None
         if len(at) <= LEAF:
-            self.nodes[own] = (box.max(0), low, high, at, -1, -1)
+            self.nodes[own] = (top, low, high, only, at, -1, -1)
             return own
-        axis = int(np.argmax(box.max(0).astype(np.int32) - box.min(0)))
+        axis = int(np.argmax(top - box.min(0)))
         key = box[:, axis] if high * 10 <= low * 11 else self.sizes[at]
         order = at[np.argsort(key, kind="stable")]
         half = len(order) // 2
         left, right = self._build(order[:half]), self._build(order[half:])
-        self.nodes[own] = (box.max(0), low, high, None, left, right)
+        self.nodes[own] = (top, low, high, only, None, left, right)
         return own
 
-    def search(self, p: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Places of the points whose bound with this one reaches what is needed."""
-        out, stack = [], [0]
+    def pairs(self, percent: int):
+        """Places (i, j) of the pairs of different components whose bound reaches what is needed: a join of the tree with itself."""
+        nodes, stack = self.nodes, [(0, 0)]
         while stack:
-            top, low, high, at, left, right = self.nodes[stack.pop()]
-            # a larger partner needs more common tokens, so the box's least size decides
-            if 100 * min(size, high) < percent * max(size, low) or bound(p, top) < needed(np.int64(size), np.int64(max(low, -(-percent * size // 100))), percent):
+            i, j = stack.pop()
+            top, low, high, only, at, left, right = nodes[i]
+            top2, low2, high2, only2, at2, left2, right2 = nodes[j]
+            if only is not None and only == only2:
                 continue
-            if at is None:
-                stack += (left, right)
+            if 100 * min(high, high2) < percent * max(low, low2) or bound(top, top2) < -((-percent * (low + low2)) // (100 + percent)):
+                continue
+            if at is not None and at2 is not None:
+                s, t = self.sizes[at][:, None], self.sizes[at2][None]
+                keep = (self.components[at][:, None] != self.components[at2][None]) & (100 * np.minimum(s, t) >= percent * np.maximum(s, t))
+                if i == j:
+                    keep &= np.tri(len(at), k=-1, dtype=bool)
+                x, y = np.nonzero(keep)
+                if len(x):
+                    x, y = at[x], at2[y]
+                    near = bound(self.points[x], self.points[y]) >= needed(self.sizes[x], self.sizes[y], percent)
+                    yield x[near], y[near]
+            elif i == j:
+                stack += ((left, left), (left, right), (right, right))
+            elif at is None and (at2 is not None or high - low >= high2 - low2):
+                stack += ((left, j), (right, j))
             else:
-                s = self.sizes[at]
-                out.append(at[(bound(self.points[at], p) >= needed(s, np.int64(size), percent)) & (100 * np.minimum(s, size) >= percent * np.maximum(s, size))])
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+                stack += ((i, left2), (i, right2))
 
 
 def _schema_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,12 +153,18 @@ def token_counts(rows: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             for tokens in shingle_sets(*as_bytes(batch.column(1)), n):
                 np.add.at(total, (tokens >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["cell", "n"])
+        parts = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in np.split(total, PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
 
-    summed = rows.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[summed["cell"]] = summed["n"]
-    return out
+    def add(piece: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in piece.column("counts"))
+        return pa.table({"piece": piece.column("piece").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    summed = rows.mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
+    out = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.int64)
+    for r in summed:
+        out[r.piece] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    return out.ravel()
 
 
 def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> DataFrame:
@@ -179,7 +207,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, GROUPS) for k in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, GROUPS) for k in (4, 5))
             s, t = (batch.column(k).to_numpy() for k in (2, 3))
             keep = (bound(x, y) >= needed(s, t, percent)) & (100 * np.minimum(s, t) >= percent * np.maximum(s, t))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
@@ -242,13 +270,9 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
         if (comp == comp[0]).all():
             return
         sizes = np.array([r[2] for r in rows])
-        points = np.frombuffer(b"".join([r[3] for r in rows]), np.uint16).reshape(-1, GROUPS)
-        tree = RTree(points, sizes)
-        for k in range(len(rows)):
-            near = tree.search(points[k], int(sizes[k]), percent)
-            near = near[(near > k) & (comp[near] != comp[k])]
-            for q in near:
-                yield min(ids[k], ids[q]), max(ids[k], ids[q])
+        points = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, GROUPS)
+        for x, y in RTree(points, sizes, comp).pairs(percent):
+            yield from zip(np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist())
 
     def run(batches):
         key, held, out = None, [], []
