@@ -1,9 +1,606 @@
-"""Query catalogue: every registered query of the reference's operators with its SQL."""
+"""Query catalogue: every registered query of the package-repository operators, beside the SQL that checks it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from parcelyard.functions import codes, paths, version
+from parcelyard.operators import dedup, merge, metadata
+from parcelyard.plans.views import duck, view
+from parcelyard.sources import snippets
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def ver(v: str) -> str:
+    """DuckDB expression of the version key."""
+    return (
+        rf"(array_to_string(list_transform(regexp_extract_all({v}, '(~|\^|[A-Za-z]+|[0-9]+)'), lambda t: CASE WHEN t = '~' THEN '0' WHEN t = '^' THEN '2' "
+        "WHEN regexp_matches(t, '^[A-Za-z]') THEN '3' || t ELSE '4' || lpad(CAST(length(regexp_replace(t, '^0+', '')) AS VARCHAR), 3, '0') || regexp_replace(t, '^0+', '') END), '') || '1')"
+    )
+
+
+EVR = f"{ver("coalesce(epoch, '')")}, {ver("coalesce(version, '')")}, {ver("coalesce(release, '')")}"
+EVR_DESC = f"{ver("coalesce(epoch, '')")} DESC, {ver("coalesce(version, '')")} DESC, {ver("coalesce(release, '')")} DESC"
+SORT_DESC = f"{ver("coalesce(epoch, '0')")} DESC, {ver('version')} DESC, {ver('release')} DESC"
+SHOWN = ["ord", "repo_id", "name", "arch", "epoch", "version", "release", "time_file"]
+COLS = ", ".join(SHOWN)
+
+
+def first(partition: str, order: str, source: str = "pkg", cols: str = COLS) -> str:
+    return f"SELECT {cols} FROM {source} QUALIFY row_number() OVER (PARTITION BY {partition} ORDER BY {order}) = 1"
+
+
+# --- merge -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"{duck('pkg')} {first('name, arch', 'repo_id, ord')}")
+def merge_repo(spark, sf):
+    return merge.merge(view(spark, sf, "pkg"), "repo").select(SHOWN)
+
+
+@query(f"{duck('pkg')} {first('name, arch', 'time_file DESC, repo_id, ord')}")
+def merge_ts(spark, sf):
+    return merge.merge(view(spark, sf, "pkg"), "ts").select(SHOWN)
+
+
+@query(f"{duck('pkg')} {first('name, arch', f'{EVR_DESC}, repo_id, ord')}")
+def merge_nvr(spark, sf):
+    return merge.merge(view(spark, sf, "pkg"), "nvr").select(SHOWN)
+
+
+@query(f"{duck('pkg')} {first(f'name, arch, {EVR}', 'repo_id, ord')}")
+def merge_all(spark, sf):
+    return merge.merge(view(spark, sf, "pkg"), "all").select(SHOWN)
+
+
+@query(f"{duck('pkg')} SELECT {COLS}, count(*) OVER (PARTITION BY name, arch, {EVR}) > 1 AS is_dup FROM pkg")
+def merge_simple(spark, sf):
+    return merge.merge(view(spark, sf, "pkg"), "simple").select(*SHOWN, "is_dup")
+
+
+@query(f"{duck('pkg')} SELECT ord, row_number() OVER (PARTITION BY arch ORDER BY name, href, coalesce(location_base, ' '), ord) AS place FROM pkg")
+def merge_output_order(spark, sf):
+    w = Window.partitionBy("arch").orderBy("name", "href", F.coalesce("location_base", F.lit(" ")), "ord")
+    return view(spark, sf, "pkg").select("ord", F.row_number().over(w).cast("long").alias("place"))
+
+
+SRPM_NAME = "regexp_extract(regexp_replace(srpm, '[.]src[.]rpm$', ''), '^(.*)-([^-]*)-([^-]*)$', 1)"
+BUILDS = f"builds AS ({first(SRPM_NAME, f'repo_id, {SORT_DESC}, ord', '(SELECT * FROM pkg WHERE srpm IS NOT NULL)', '*')})"
+BLOCKED = "blocked AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey % 17 = 0)"
+
+
+def blocked_names(spark, sf):
+    return view(spark, sf, "pkg").where("ord % 17 = 0").select(F.regexp_replace("name", " ", "_").alias("name")).distinct()
+
+
+@query(f"{duck('pkg')}, {BUILDS} SELECT {SRPM_NAME} AS srpm_name, srpm, repo_id, ord FROM builds")
+def koji_best_builds(spark, sf):
+    return merge.best_builds(view(spark, sf, "pkg")).select("srpm_name", "srpm", "repo_id", "ord")
+
+
+@query(f"{duck('pkg')}, {BLOCKED} SELECT {COLS} FROM pkg WHERE srpm IS NULL OR {SRPM_NAME} NOT IN (SELECT name FROM blocked)")
+def koji_block(spark, sf):
+    return merge.block_sources(view(spark, sf, "pkg"), blocked_names(spark, sf)).select(SHOWN)
+
+
+@query(f"{duck('pkg')}, {BUILDS} SELECT {COLS} FROM pkg WHERE srpm IS NULL OR srpm IN (SELECT srpm FROM builds)")
+def koji_include(spark, sf):
+    pkgs = view(spark, sf, "pkg")
+    return merge.include_sources(pkgs, merge.best_builds(pkgs)).select(SHOWN)
+
+
+NVRA = "name || '-' || version || '-' || release || '.' || arch"
+
+
+@query(f"{duck('pkg')} {first(NVRA, 'repo_id, ord')}")
+def koji_seen(spark, sf):
+    return merge.first_seen(view(spark, sf, "pkg")).select(SHOWN)
+
+
+@query(
+    f"{duck('pkg')}, {BUILDS}, {BLOCKED}, passed AS (SELECT * FROM pkg WHERE srpm IS NULL OR ({SRPM_NAME} NOT IN (SELECT name FROM blocked) AND srpm IN (SELECT srpm FROM builds))), "
+    f"seen AS ({first(NVRA, 'repo_id, ord', 'passed', '*')}) {first(f'name, arch, {EVR}', 'repo_id, ord', 'seen')}"
+)
+def koji_full(spark, sf):
+    return merge.koji_merge(view(spark, sf, "pkg"), blocked_names(spark, sf)).select(SHOWN)
+
+
+FILE_NAME = "regexp_extract({}, '([^/]*)$', 1)"
+AS_NOARCH = "p AS (SELECT * REPLACE (CASE WHEN ord % 2 = 0 THEN 'noarch' ELSE arch END AS arch) FROM pkg)"
+
+
+@query(
+    f"{duck('pkg')}, {AS_NOARCH}, other AS (SELECT {FILE_NAME.format('href')} AS f, min(pkgid) AS pkgid, min(repo_id) AS repo_id FROM p WHERE repo_id = 2 AND ord < 1400 GROUP BY 1) "
+    f"SELECT p.ord, p.arch, coalesce(o.pkgid, p.pkgid) AS pkgid, coalesce(o.repo_id, p.repo_id) AS repo_id FROM p LEFT JOIN other o ON p.arch = 'noarch' AND {FILE_NAME.format('p.href')} = o.f"
+)
+def noarch_substitute(spark, sf):
+    pkgs = view(spark, sf, "pkg").withColumn("arch", F.when(F.col("ord") % 2 == 0, "noarch").otherwise(F.col("arch")))
+    return merge.substitute_noarch(pkgs, pkgs.where("repo_id = 2 AND ord < 1400"), paths.base_name(F.col("href"))).select("ord", "arch", "pkgid", "repo_id")
+
+
+@query(f"{duck('pkg')}, used AS ({first('name, arch', f'{EVR_DESC}, repo_id, ord')}) SELECT repo_id, count(*) AS loaded, (SELECT count(*) FROM used u WHERE u.repo_id = pkg.repo_id) AS used FROM pkg GROUP BY repo_id")
+def repo_counts(spark, sf):
+    pkgs = view(spark, sf, "pkg")
+    return merge.repo_counts(pkgs, merge.merge(pkgs, "nvr"))
+
+
+@query(f"{duck('pkg')} SELECT ord, arch FROM pkg WHERE arch IN ('ECONOMY', 'SMALL', 'noarch') OR arch LIKE 'STANDARD%'")
+def arch_filter(spark, sf):
+    pkgs = view(spark, sf, "pkg")
+    wanted = merge.arch_filter(pkgs, ["ECONOMY", "SMALL"])
+    return wanted.unionByName(pkgs.where(F.col("arch").startswith("STANDARD"))).select("ord", "arch")
+
+
+CHUNKS = "sum(c) OVER (PARTITION BY arch ORDER BY name, href, ord ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    f"{duck('pkg')} SELECT ord, CAST({CHUNKS} AS BIGINT) AS chunk FROM (SELECT *, CASE WHEN lag(ord) OVER w IS NULL OR srpm IS DISTINCT FROM lag(srpm) OVER w THEN 1 ELSE 0 END AS c FROM pkg WINDOW w AS (PARTITION BY arch ORDER BY name, href, ord))"
+)
+def srpm_chunks(spark, sf):
+    pkgs = view(spark, sf, "pkg").withColumn("srpm", F.coalesce("srpm", F.lit("-none-")))
+    return merge.source_chunks(pkgs).select("ord", F.col("chunk").cast("long").alias("chunk"))
+
+
+# --- keyed loads -----------------------------------------------------------------------------------------------------
+
+
+@query(f"{duck('pkg')} {first(FILE_NAME.format('href'), 'ord')}")
+def load_keepfirst(spark, sf):
+    return dedup.load_keyed(view(spark, sf, "pkg"), "filename").select(SHOWN)
+
+
+@query(f"{duck('pkg')} {first('name', 'ord')}")
+def rekey_name(spark, sf):
+    return dedup.load_keyed(view(spark, sf, "pkg"), "name").select(SHOWN)
+
+
+@query(f"{duck('pkg')} SELECT {COLS} FROM pkg QUALIFY row_number() OVER (PARTITION BY href ORDER BY ord) = 1 AND count(*) OVER (PARTITION BY href) = 1")
+def load_removeall(spark, sf):
+    return dedup.load_keyed(view(spark, sf, "pkg"), "href", "removeall").select(SHOWN)
+
+
+TWICE = "twice AS (SELECT * FROM pkg UNION ALL SELECT * REPLACE (ord + 1000000 AS ord, CASE WHEN ord % 3 = 0 THEN time_file + 1 ELSE time_file END AS time_file) FROM pkg WHERE ord % 2 = 0)"
+
+
+@query(f"{duck('pkg')}, {TWICE} SELECT {COLS} FROM twice QUALIFY row_number() OVER (PARTITION BY pkgid ORDER BY ord) = 1 AND min(time_file) OVER (PARTITION BY pkgid) = max(time_file) OVER (PARTITION BY pkgid)")
+def pkgid_conflict_drop(spark, sf):
+    pkgs = view(spark, sf, "pkg")
+    again = pkgs.where("ord % 2 = 0").withColumns({"time_file": F.when(F.col("ord") % 3 == 0, F.col("time_file") + 1).otherwise(F.col("time_file")), "ord": F.col("ord") + 1000000})
+    return dedup.unique_pkgid(pkgs.unionByName(again)).select(SHOWN)
+
+
+NEVRA = "name || '-' || coalesce(nullif(epoch, ''), '0') || ':' || version || '-' || release || '.' || arch"
+
+
+@query(f"{duck('pkg')} SELECT {NEVRA} AS nevra, count(*) AS n, string_agg(href, ',' ORDER BY length(href), href) AS locations FROM pkg GROUP BY 1 HAVING count(*) > 1")
+def nevra_duplicates(spark, sf):
+    return dedup.nevra_duplicates(view(spark, sf, "pkg"))
+
+
+COARSE = "coarse AS (SELECT * REPLACE ('1' AS version, '1' AS release) FROM pkg)"
+
+
+@query(f"{duck('pkg')}, {COARSE} {first(NEVRA, 'time_file DESC, href DESC', 'coarse')}")
+def nevra_keep_last(spark, sf):
+    return dedup.keep_last_nevra(view(spark, sf, "pkg").withColumns({"version": F.lit("1"), "release": F.lit("1")})).select(SHOWN)
+
+
+@query(f"{duck('pkg')} SELECT count(DISTINCT pkgid) AS n FROM pkg")
+def pkg_count(spark, sf):
+    return view(spark, sf, "pkg").agg(F.countDistinct("pkgid").alias("n"))
+
+
+# --- joins of parts --------------------------------------------------------------------------------------------------
+
+PARTS = (
+    "fil AS (SELECT pkgid, ord, [href] AS files FROM pkg WHERE ord % 3 > 0 UNION ALL SELECT pkgid, ord + 5000000, ['again'] FROM pkg WHERE ord % 6 = 1), "
+    "oth AS (SELECT pkgid, ord, [name, arch] AS changelogs FROM pkg WHERE ord % 4 > 0 UNION ALL SELECT 'unknown', 0, ['x'])"
+)
+
+
+def parts(spark, sf):
+    pkgs = view(spark, sf, "pkg")
+    fil = pkgs.where("ord % 3 > 0").select("pkgid", "ord", F.array("href").alias("files"))
+    fil = fil.unionByName(pkgs.where("ord % 6 = 1").select("pkgid", (F.col("ord") + 5000000).alias("ord"), F.array(F.lit("again")).alias("files")))
+    oth = pkgs.where("ord % 4 > 0").select("pkgid", "ord", F.array("name", "arch").alias("changelogs"))
+    oth = oth.unionByName(spark.sql("SELECT 'unknown' AS pkgid, 0L AS ord, array('x') AS changelogs"))
+    return pkgs.select("pkgid", "ord"), fil, oth
+
+
+def flat(df, *names):
+    return df.select("ord", *(F.array_join(n, ",").alias(n) for n in ("files", "changelogs")), *names)
+
+
+FLAT = "array_to_string(f.files, ',') AS files, array_to_string(o.changelogs, ',') AS changelogs"
+
+
+@query(
+    f"{duck('pkg')}, {PARTS} SELECT p.ord, {FLAT}, f.pkgid IS NOT NULL AS has_fil, o.pkgid IS NOT NULL AS has_oth FROM pkg p "
+    "LEFT JOIN (SELECT * FROM fil QUALIFY row_number() OVER (PARTITION BY pkgid ORDER BY ord) = 1) f ON p.pkgid = f.pkgid LEFT JOIN oth o ON p.pkgid = o.pkgid"
+)
+def join_three_way(spark, sf):
+    return flat(metadata.join_parts(*parts(spark, sf)), "has_fil", "has_oth")
+
+
+@query(
+    f"{duck('pkg')}, {PARTS} SELECT p.ord, {FLAT} FROM pkg p LEFT JOIN (SELECT pkgid, flatten(list(files ORDER BY ord)) AS files FROM fil GROUP BY 1) f ON p.pkgid = f.pkgid LEFT JOIN oth o ON p.pkgid = o.pkgid"
+)
+def reader_join_append(spark, sf):
+    return flat(metadata.join_parts_append(*parts(spark, sf)))
+
+
+@query(f"{duck('pkg')} SELECT ord, ord % 3 > 0 AND ord % 4 > 0 AS in_order FROM pkg")
+def join_positional(spark, sf):
+    primary, fil, oth = parts(spark, sf)
+    return metadata.join_positional(primary, fil.where("ord < 5000000"), oth.where("ord > 0")).select("ord", "in_order")
+
+
+SAME = "EXISTS (SELECT 1 FROM old_files o WHERE regexp_replace(o.href, '^(\\./)+', '') = n.href AND o.mtime = n.mtime AND o.size = n.size AND o.checksum_type = n.checksum_type)"
+
+
+@query(f"{duck('old_files', 'new_files')} SELECT doc_id, href, {SAME} AS reused FROM new_files n")
+def update_reuse(spark, sf):
+    return metadata.reuse(view(spark, sf, "new_files"), view(spark, sf, "old_files")).select("doc_id", "href", "reused")
+
+
+@query(f"{duck('old_files', 'new_files')} SELECT doc_id, href FROM new_files n WHERE NOT {SAME}")
+def update_changed(spark, sf):
+    return metadata.changed(view(spark, sf, "new_files"), view(spark, sf, "old_files")).select("doc_id", "href")
+
+
+@query(f"{duck('pkg')} SELECT ord, href FROM pkg WHERE {FILE_NAME.format('href')} IN (SELECT CAST(l_partkey AS VARCHAR) || '.rpm' FROM lineitem WHERE l_quantity = 50)")
+def pkglist_semi(spark, sf):
+    names = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity = 50").select(F.concat(F.col("l_partkey").cast("string"), F.lit(".rpm")).alias("file"))
+    return metadata.listed_only(view(spark, sf, "pkg"), names).select("ord", "href")
+
+
+@query(f"{duck('file')} SELECT pos, path FROM file WHERE NOT (path LIKE '%.html' OR regexp_matches(path, '^.*/en/.*$') OR {FILE_NAME.format('path')} LIKE '1%')")
+def excludes_glob(spark, sf):
+    return metadata.excluded(view(spark, sf, "file"), ["*.html", "*/en/*", "1*"]).select("pos", "path")
+
+
+# --- star ------------------------------------------------------------------------------------------------------------
+
+KINDS = ["requires", "provides", "conflicts", "obsoletes", "suggests", "enhances", "recommends", "supplements"]
+
+
+@query(f"{duck('dep')} SELECT pkgkey, kind, name, flags, epoch, version, release, CASE WHEN kind = 'requires' THEN pre END AS pre FROM dep")
+def deps_unnest(spark, sf):
+    deps = view(spark, sf, "dep")
+    entry = F.struct("name", "flags", "epoch", "version", "release", "pre")
+    nested = deps.groupBy("pkgkey").agg(*(F.collect_list(F.when(F.col("kind") == k, entry)).alias(k) for k in KINDS))
+    return metadata.explode_deps(nested, KINDS)
+
+
+@query(f"{duck('file')} SELECT pkgkey, pos, path, CASE WHEN type = '' THEN 'file' ELSE type END AS type FROM file WHERE path LIKE '/etc/%' OR path = '/usr/lib/sendmail' OR contains(path, 'bin/')")
+def primary_files(spark, sf):
+    return metadata.primary_files(view(spark, sf, "file")).select("pkgkey", "pos", "path", "type")
+
+
+DIR = "CASE WHEN d = '' THEN '.' WHEN regexp_matches(d, '^/+$') THEN '/' ELSE regexp_replace(d, '/+$', '') END"
+
+
+@query(
+    f"{duck('file')} SELECT pkgkey, {DIR} AS dirname, string_agg({FILE_NAME.format('path')}, '/' ORDER BY pos) AS filenames, "
+    "string_agg(CASE type WHEN 'dir' THEN 'd' WHEN 'ghost' THEN 'g' ELSE 'f' END, '' ORDER BY pos) AS filetypes FROM (SELECT *, regexp_extract(path, '^(.*/)?([^/]*)$', 1) AS d FROM file) GROUP BY 1, 2"
+)
+def filelist_encode(spark, sf):
+    return metadata.file_lists(view(spark, sf, "file"))
+
+
+@query(f"{duck('chlog')} SELECT pkgkey, pos, author, date, changelog FROM chlog")
+def changelog_unnest(spark, sf):
+    logs = view(spark, sf, "chlog")
+    nested = logs.groupBy("pkgkey").agg(F.sort_array(F.collect_list(F.struct("pos", "author", "date", "changelog"))).alias("x"))
+    return nested.select("pkgkey", F.inline("x"))
+
+
+@query(f"{duck('pkg')} SELECT ord, nullif(location_base, '') AS location_base, coalesce(srpm, '') AS srpm FROM pkg")
+def null_policy(spark, sf):
+    return metadata.null_policy(view(spark, sf, "pkg")).select("ord", "location_base", "srpm")
+
+
+@query(f"{duck('pkg', 'dep')} SELECT pkgkey, kind, pos FROM dep WHERE pkgkey NOT IN (SELECT ord FROM pkg WHERE repo_id = 1)")
+def cascade_delete(spark, sf):
+    return metadata.cascade_delete(view(spark, sf, "dep"), view(spark, sf, "pkg").where("repo_id = 1").select(F.col("ord").alias("pkgkey"))).select("pkgkey", "kind", "pos")
+
+
+@query(
+    f"{duck('dep')} SELECT pkgkey, name, flags, version, pre, pos FROM dep d WHERE kind = 'requires' AND name NOT LIKE 'rpmlib(%' AND NOT EXISTS (SELECT 1 FROM dep p WHERE p.kind = 'provides' AND p.pkgkey = d.pkgkey AND p.name = d.name AND p.flags = d.flags AND p.version = d.version) "
+    "QUALIFY row_number() OVER (PARTITION BY pkgkey, name, flags, version, pre ORDER BY pos) = 1"
+)
+def requires_cleanup(spark, sf):
+    return metadata.clean_requires(view(spark, sf, "dep"), view(spark, sf, "file")).select("pkgkey", "name", "flags", "version", "pre", "pos")
+
+
+LIBC = ver("regexp_extract(name, '[(][^0-9)]*([0-9][0-9.]*)', 1)")
+
+
+@query(
+    f"{duck('dep')} SELECT pkgkey, name, pos FROM dep WHERE kind = 'requires' AND name NOT LIKE 'libc.so.6(%' UNION ALL "
+    f"(SELECT pkgkey, name, pos FROM dep WHERE kind = 'requires' AND name LIKE 'libc.so.6(%' QUALIFY row_number() OVER (PARTITION BY pkgkey ORDER BY {LIBC} DESC, pos) = 1)"
+)
+def libc_highest(spark, sf):
+    return metadata.highest_libc(view(spark, sf, "dep").where("kind = 'requires'")).select("pkgkey", "name", "pos")
+
+
+# --- changelogs, deltas ----------------------------------------------------------------------------------------------
+
+
+@query(f"{duck('chlog')} SELECT pkgkey, pos, row_number() OVER (PARTITION BY pkgkey ORDER BY pos DESC) AS place FROM (SELECT * FROM chlog QUALIFY row_number() OVER (PARTITION BY pkgkey ORDER BY pos) <= 3)")
+def changelog_limit(spark, sf):
+    return metadata.limit_changelogs(view(spark, sf, "chlog"), 3).select("pkgkey", "pos", F.col("place").cast("long").alias("place"))
+
+
+@query(f"{duck('chlog')}, k AS (SELECT *, row_number() OVER (PARTITION BY pkgkey ORDER BY date, pos DESC) AS k FROM chlog) SELECT pkgkey, pos, date, max(date - k) OVER (PARTITION BY pkgkey ORDER BY k ROWS UNBOUNDED PRECEDING) + k AS unique_date FROM k")
+def changelog_uniquify(spark, sf):
+    return metadata.unique_dates(view(spark, sf, "chlog")).select("pkgkey", "pos", "date", "unique_date")
+
+
+def evr_tuple(p: str) -> str:
+    part = [f"coalesce({p}.epoch, '0')", f"{p}.version", f"{p}.release"]
+    return "(" + ", ".join(ver(x) for x in part) + ")"
+
+
+PAIRS = f"pairs AS (SELECT t.ord AS target, o.ord AS old, o.repo_id AS dir, {evr_tuple('o')} AS k FROM pkg t JOIN pkg o ON t.name = o.name AND t.arch = o.arch AND t.repo_id = 0 AND o.repo_id > 0 AND t.size_package < 150000 AND o.size_package <= 150000 AND {evr_tuple('t')} > {evr_tuple('o')})"
+
+
+def delta_pairs(spark, sf):
+    pkgs = view(spark, sf, "pkg")
+    return metadata.delta_candidates(pkgs.where("repo_id = 0"), pkgs.where("repo_id > 0"), 150000)
+
+
+@query(f"{duck('pkg')}, {PAIRS} SELECT target, old, dir FROM pairs")
+def delta_candidates(spark, sf):
+    return delta_pairs(spark, sf).select("target", "old", "dir")
+
+
+@query(f"{duck('pkg')}, {PAIRS} SELECT target, old, dir, row_number() OVER (PARTITION BY target, dir ORDER BY k DESC, old) AS place FROM pairs QUALIFY place <= 2")
+def delta_topk(spark, sf):
+    return metadata.newest_deltas(delta_pairs(spark, sf), 2).select("target", "old", "dir", F.col("place").cast("long").alias("place"))
+
+
+@query(f"{duck('pkg')}, {PAIRS} SELECT target, count(*) AS n, string_agg(CAST(old AS VARCHAR), ',' ORDER BY old) AS olds FROM pairs GROUP BY 1")
+def delta_group(spark, sf):
+    return metadata.group_deltas(delta_pairs(spark, sf))
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query(f"{duck('pkg')}, v AS (SELECT ord, {EVR} , row_number() OVER (PARTITION BY arch ORDER BY {EVR}, ord) AS place FROM pkg) SELECT ord, place FROM v")
+def version_order(spark, sf):
+    k = version.merge_key(F.col("epoch"), F.col("version"), F.col("release"))
+    return view(spark, sf, "pkg").select("ord", F.row_number().over(Window.partitionBy("arch").orderBy(k, "ord")).cast("long").alias("place"))
+
+
+A, B = ver("version"), ver("other")
+TEXT = "version || CASE ord % 3 WHEN 0 THEN '' WHEN 1 THEN '~rc1' ELSE '^20' END"
+
+
+@query(f"{duck('pkg')} SELECT ord, CASE WHEN {A} = {B} THEN 0 WHEN {A} > {B} THEN 1 ELSE 2 END AS cmp FROM (SELECT ord, version, {TEXT} AS other FROM pkg)")
+def version_compare(spark, sf):
+    tail = F.when(F.col("ord") % 3 == 0, "").when(F.col("ord") % 3 == 1, "~rc1").otherwise("^20")
+    return view(spark, sf, "pkg").select("ord", version.compare(F.col("version"), F.concat("version", tail)).alias("cmp"))
+
+
+EVRS = "CASE ord % 4 WHEN 0 THEN version WHEN 1 THEN coalesce(epoch, 'x') || ':' || version || '-' || release WHEN 2 THEN version || '-' || release ELSE ':' || version END"
+
+
+@query(
+    f"{duck('pkg')}, s AS (SELECT ord, {EVRS} AS s FROM pkg), t AS (SELECT ord, regexp_extract(s, '^([^:]*):', 1) AS head, regexp_replace(s, '^[^:]*:', '') AS rest FROM s) "
+    "SELECT ord, CASE WHEN regexp_matches(head, '^[0-9]+$') THEN head WHEN head = '' THEN '0' END AS epoch, regexp_extract(rest, '^([^-]*)', 1) AS version, nullif(regexp_extract(rest, '^[^-]*-(.*)$', 1), '') AS release FROM t"
+)
+def evr_parse(spark, sf):
+    s = F.when(F.col("ord") % 4 == 0, F.col("version")).when(F.col("ord") % 4 == 1, F.concat(F.coalesce("epoch", F.lit("x")), F.lit(":"), "version", F.lit("-"), "release"))
+    s = s.when(F.col("ord") % 4 == 2, F.concat("version", F.lit("-"), "release")).otherwise(F.concat(F.lit(":"), "version"))
+    return view(spark, sf, "pkg").select("ord", version.parse_evr(s).alias("x")).select("ord", "x.*")
+
+
+# Parsing a name that was built from its parts gives the parts back, so the parts are the check.
+PLAIN = "replace(name, ' ', '_') AS name, coalesce(epoch, '0') AS epoch, version, release, arch"
+
+
+def built(spark, sf, form):
+    pkgs = view(spark, sf, "pkg").withColumns({"name": F.replace("name", F.lit(" "), F.lit("_")), "epoch": F.coalesce("epoch", F.lit("0"))})
+    return pkgs.select("ord", F.format_string(form, "name", "epoch", "version", "release", "arch").alias("s"))
+
+
+@query(f"{duck('pkg')} SELECT ord, {PLAIN} FROM pkg")
+def nevra_parse(spark, sf):
+    return built(spark, sf, "%1$s-%2$s:%3$s-%4$s.%5$s").select("ord", version.parse_nevra(F.col("s")).alias("x")).select("ord", "x.*")
+
+
+@query(f"{duck('pkg')} SELECT ord, replace(name, ' ', '_') AS name, coalesce(epoch, '0') AS epoch, version, release FROM pkg")
+def nevr_parse(spark, sf):
+    return built(spark, sf, "%2$s:%1$s-%3$s-%4$s").select("ord", version.parse_nevr(F.col("s")).alias("x")).select("ord", "x.*")
+
+
+@query(f"{duck('pkg')} SELECT ord, {PLAIN} FROM pkg")
+def split_filename(spark, sf):
+    return built(spark, sf, "a/b/%1$s-%3$s-%4$s.%5$s.rpm:%2$s").select("ord", version.split_filename(F.col("s")).alias("x")).select("ord", "x.*")
+
+
+@query(f"{duck('pkg')} SELECT ord, CAST(split_part(version, '.', 1) AS INT) AS major, CAST(split_part(version, '.', 2) AS INT) AS minor, 0 AS patch, CASE WHEN ord % 2 = 0 THEN '-rc' END AS suffix FROM pkg")
+def version_parse(spark, sf):
+    s = F.concat("version", F.when(F.col("ord") % 2 == 0, "-rc").otherwise(""))
+    return view(spark, sf, "pkg").select("ord", version.parse_version(s).alias("x")).select("ord", "x.*")
+
+
+@query(
+    f"{duck('file')} SELECT pos, {FILE_NAME.format('path')} AS base, regexp_extract(path, '^(.*/)?([^/]*)$', 1) AS dir, regexp_replace('././' || path, '^(\\./)+', '') AS clean, "
+    "regexp_replace(path, '/+$', '') || '/' AS slashed, 'file://' || path AS url, regexp_replace(path, '^/*([^/]+/+){0,2}', '') AS cut FROM file"
+)
+def path_functions(spark, sf):
+    p = F.col("path")
+    return view(spark, sf, "file").select(
+        "pos", paths.base_name(p).alias("base"), paths.directory(p).alias("dir"), paths.clean_href(F.concat(F.lit("././"), p)).alias("clean"), paths.with_slash(p).alias("slashed"), paths.file_url(p).alias("url"), paths.cut_dirs(p, 2).alias("cut")
+    )
+
+
+@query(f"{duck('file')} SELECT pos, 'pool/' || regexp_replace(regexp_replace(CASE WHEN starts_with(path, '/etc') THEN substr(path, 5) ELSE path END, '^/+', ''), '^/*([^/]+/+){{0,1}}', '') AS href FROM file".replace("{{", "{").replace("}}", "}"))
+def href_rewrite(spark, sf):
+    return view(spark, sf, "file").select("pos", paths.rewrite_href(F.col("path"), "/etc", 1, "pool").alias("href"))
+
+
+@query(f"{duck('pkg')} SELECT ord, CASE WHEN location_base IS NULL OR location_base = '' THEN 'media:' ELSE location_base END || '#' || CAST(repo_id AS VARCHAR) AS base FROM pkg")
+def split_media_base(spark, sf):
+    return view(spark, sf, "pkg").select("ord", paths.media_base(F.col("location_base"), F.col("repo_id")).alias("base"))
+
+
+@query(f"{duck('pkg')} SELECT ord, CASE WHEN starts_with(b, 'http://repo/') THEN regexp_replace('ftp://mirror/' || substr(b, 13), '/+$', '') ELSE b END AS base FROM (SELECT ord, coalesce(location_base, 'http://repo/default/') AS b FROM pkg)")
+def base_url(spark, sf):
+    base = F.coalesce("location_base", F.lit("http://repo/default/"))
+    return view(spark, sf, "pkg").select("ord", paths.replace_prefix(base, "http://repo/", "ftp://mirror/").alias("base"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE CAST(l_quantity AS INT) & 15 WHEN 2 THEN 'LT' WHEN 4 THEN 'GT' WHEN 8 THEN 'EQ' WHEN 10 THEN 'LE' WHEN 12 THEN 'GE' END AS flag FROM lineitem")
+def flag_names(spark, sf):
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", codes.flag_name(F.col("l_quantity").cast("int")).alias("flag"))
+
+
+@query(f"{duck('dep')} SELECT pkgkey, pos, NOT (v IS NULL OR v IN ('0', 'FALSE', 'false', 'False')) AS pre FROM (SELECT *, CASE pos % 4 WHEN 0 THEN '0' WHEN 1 THEN 'false' WHEN 2 THEN '1' END AS v FROM dep)")
+def pre_parse(spark, sf):
+    v = F.when(F.col("pos") % 4 == 0, "0").when(F.col("pos") % 4 == 1, "false").when(F.col("pos") % 4 == 2, "1")
+    return view(spark, sf, "dep").select("pkgkey", "pos", codes.parse_pre(v).alias("pre"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'sha256' WHEN event_id % 3 = 1 THEN 'md5' ELSE 'unknown' END AS checksum, CASE event_id % 4 WHEN 0 THEN '.gz' WHEN 1 THEN '.zst' WHEN 2 THEN '.bz2' END AS suffix, "
+    "CASE CAST(event_id % 12 AS INT) WHEN 1 THEN 'md5' WHEN 2 THEN 'sha1' WHEN 8 THEN 'sha256' WHEN 9 THEN 'sha384' WHEN 10 THEN 'sha512' WHEN 11 THEN 'sha224' ELSE 'unknown' END AS algorithm, "
+    "CASE event_id % 5 WHEN 0 THEN 'gz' WHEN 1 THEN 'xz' WHEN 2 THEN 'zstd' WHEN 3 THEN 'bz2' ELSE 'none' END AS detected FROM events"
+)
+def code_names(spark, sf):
+    n = F.col("event_id")
+    kind = F.when(n % 3 == 0, "SHA256").when(n % 3 == 1, "MD5").otherwise("crc")
+    comp = F.when(n % 4 == 0, "GZ").when(n % 4 == 1, "zstd").when(n % 4 == 2, "bzip2").otherwise("rar")
+    head = F.when(n % 5 == 0, "1F8B08").when(n % 5 == 1, "FD377A585A00").when(n % 5 == 2, "28B52FFD").otherwise("00")
+    path = F.when(n % 5 == 3, "a.bz2").otherwise("a")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return rows.select("event_id", codes.checksum_type(kind).alias("checksum"), codes.compression_suffix(comp).alias("suffix"), codes.digest_algorithm((n % 12).cast("int")).alias("algorithm"), codes.detect_compression(path, head).alias("detected"))
+
+
+@query("SELECT event_id, (event_id % 90) * CASE event_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 86400 ELSE 1 END AS seconds, event_id % 1000 AS parsed FROM events")
+def number_parse(spark, sf):
+    n = F.col("event_id")
+    unit = F.when(n % 4 == 0, "m").when(n % 4 == 1, "h").when(n % 4 == 2, "d").otherwise("")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return rows.select("event_id", codes.seconds(F.concat((n % 90).cast("string"), unit)).alias("seconds"), codes.parse_long(F.concat(F.lit(" "), (n % 1000).cast("string"), F.lit("x"))).alias("parsed"))
+
+
+@query("SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1 FROM documents")
+def content_digest(spark, sf):
+    t = F.col("text")
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.octet_length(t).cast("long").alias("size"), F.sha2(t, 256).alias("sha256"), F.md5(t).alias("md5"), F.sha1(t).alias("sha1"))
+
+
+@query("SELECT doc_id, regexp_matches(CASE WHEN doc_id % 9 = 0 THEN text || chr(1 + CAST(doc_id % 31 AS INT)) ELSE text END, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS forbidden FROM documents")
+def control_chars(spark, sf):
+    marked = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.char(1 + F.col("doc_id") % 31))).otherwise(F.col("text"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", codes.has_control(marked).alias("forbidden"))
+
+
+@query("SELECT page_id, replace(replace(url, '?', '&#38;'), '#38;', '') AS url FROM pages")
+def ampersand_unescape(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", codes.unescape_ampersand(F.replace("url", F.lit("?"), F.lit("&#38;"))).alias("url"))
+
+
+# --- manifests, retention, advisories --------------------------------------------------------------------------------
+
+RANK = "list_position(['primary','filelists','other','primary_db','filelists_db','other_db','primary_zck','filelists_zck','other_zck'], type)"
+
+
+@query(f"{duck('record')} SELECT event_id, row_number() OVER (PARTITION BY size % 16 ORDER BY coalesce({RANK}, 99), type, href) AS place FROM record")
+def manifest_sort(spark, sf):
+    w = Window.partitionBy(F.col("size") % 16).orderBy(metadata.record_rank(F.col("type")), "type", "href")
+    return view(spark, sf, "record").select("event_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(f"{duck('record')}, a AS (SELECT * FROM record WHERE event_id % 2 = 0), b AS (SELECT * FROM record WHERE event_id % 24 = 3 OR event_id % 24 = 4) SELECT event_id, type, href FROM a WHERE type NOT IN (SELECT type FROM b) UNION ALL SELECT event_id, type, href FROM b")
+def manifest_upsert(spark, sf):
+    r = view(spark, sf, "record")
+    return metadata.upsert_records(r.where("event_id % 2 = 0"), r.where("event_id % 24 IN (3, 4)")).select("event_id", "type", "href")
+
+
+@query("SELECT 1 AS pair, true AS equal UNION ALL SELECT 2, false")
+def manifest_equal(spark, sf):
+    r, keys = view(spark, sf, "record"), ["type", "href", "checksum", "size"]
+    again = r.orderBy("checksum")
+    other = r.withColumn("size", F.when(F.col("event_id") == 7, F.col("size") + 1).otherwise(F.col("size")))
+    return metadata.same_manifest(r, again, keys).select(F.lit(1).alias("pair"), "equal").unionByName(metadata.same_manifest(r, other, keys).select(F.lit(2).alias("pair"), "equal"))
+
+
+@query(f"{duck('record')} SELECT event_id, checksum || '-' || type || '.xml.gz' AS name FROM record")
+def record_rename(spark, sf):
+    old = F.when(F.col("event_id") % 3 == 0, F.concat(F.md5(F.lit("old")), F.lit("-"))).when(F.col("event_id") % 3 == 1, F.concat("checksum", F.lit("-"))).otherwise("")
+    return view(spark, sf, "record").select("event_id", paths.record_name(F.concat(old, "type", F.lit(".xml.gz")), F.col("checksum")).alias("name"))
+
+
+@query(f"{duck('mfile')} SELECT kind, event_id FROM mfile QUALIFY row_number() OVER (PARTITION BY kind ORDER BY mtime DESC, href DESC) > 10")
+def retain_newest(spark, sf):
+    return metadata.retain_newest(view(spark, sf, "mfile"), 10).select("kind", "event_id")
+
+
+@query(f"{duck('mfile')} SELECT kind, event_id FROM mfile WHERE (SELECT max(mtime) FROM mfile) - mtime > 86400")
+def retain_age(spark, sf):
+    m = view(spark, sf, "mfile")
+    newest = m.agg(F.max("mtime").alias("now"))
+    return metadata.retain_age(m.join(F.broadcast(newest)), F.col("now"), F.lit(86400)).select("kind", "event_id")
+
+
+@query(f"{duck('adv')} SELECT id, severity, issued, pos, package FROM adv")
+def advisory_explode(spark, sf):
+    nested = view(spark, sf, "adv").groupBy("id", "severity", "issued").agg(F.sort_array(F.collect_list(F.struct("pos", "package"))).alias("packages"))
+    return nested.select("id", "severity", "issued", F.inline("packages"))
+
+
+# --- scans and sinks -------------------------------------------------------------------------------------------------
+
+
+@query(f"{duck('pkg')} SELECT ord, name, arch, epoch, version, release, pkgid, href, size_package FROM (SELECT * REPLACE (coalesce(epoch, '0') AS epoch) FROM pkg)")
+def primary_round_trip(spark, sf):
+    """Packages written as primary chunks and scanned again."""
+    chunks = view(spark, sf, "pkg").select("ord", snippets.primary_chunk().alias("xml"))
+    return snippets.scan_primary(chunks, "xml", "ord").select("ord", "name", "arch", "epoch", "version", "release", "pkgid", "href", "size_package")
+
+
+@query(f"{duck('file')} SELECT pkgkey, path, CASE type WHEN '' THEN NULL ELSE type END AS type FROM file")
+def filelists_round_trip(spark, sf):
+    rows = view(spark, sf, "file")
+    nested = rows.groupBy("pkgkey").agg(F.sort_array(F.collect_list(F.struct("pos", "path", "type"))).alias("files"))
+    return snippets.scan_files(nested.select("pkgkey", snippets.filelists_chunk().alias("xml")), "xml", "pkgkey")
+
+
+@query(f"{duck('chlog')} SELECT pkgkey, author, date, changelog FROM chlog")
+def other_round_trip(spark, sf):
+    nested = view(spark, sf, "chlog").groupBy("pkgkey").agg(F.sort_array(F.collect_list(F.struct("pos", "author", "date", "changelog"))).alias("changelogs"))
+    return snippets.scan_changelogs(nested.select("pkgkey", snippets.other_chunk().alias("xml")), "xml", "pkgkey")
+
+
+@query(f"{duck('pkg')} SELECT ord, {NVRA} || chr(9) || coalesce(location_base, '') || href AS line FROM pkg")
+def pkgorigins(spark, sf):
+    return view(spark, sf, "pkg").select("ord", F.concat_ws("\t", version.nvra(*(F.col(c) for c in ("name", "version", "release", "arch"))), F.concat(F.coalesce("location_base", F.lit("")), "href")).alias("line"))
