@@ -311,11 +311,12 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
     members = stored(table.where("n > 0").select("id", "digest").join(classes, "digest").select("id", "rep").distinct())
     reps = members.where("id = rep").select("id").distinct()
     # Stars: each representative against the first of its min-hash blocks.
-    heads = table.where("n > 0").select("id", "n", "point", F.explode("stars").alias("star")).join(reps, "id", "left_semi").dropDuplicates(["id", "star"])
-    heads = stored(heads)
-    first = heads.groupBy("star").agg(F.min(F.struct("id", "n", "point")).alias("f"), F.count("*").alias("m")).where("m > 1")
-    pairs = heads.join(first.select("star", F.col("f.id").alias("b"), F.col("f.n").alias("n_b"), F.col("f.point").alias("point_b")), "star").where("id <> b")
-    pairs = pairs.select(F.col("id").alias("a"), "b", F.col("n").alias("n_a"), "n_b", F.col("point").alias("point_a"), "point_b")
+    heads = stored(table.where("n > 0").select("id", F.explode("stars").alias("star")).join(reps, "id", "left_semi").distinct())
+    first = heads.groupBy("star").agg(F.min("id").alias("b"), F.count("*").alias("m")).where("m > 1").select("star", "b")
+    pairs = heads.join(first, "star").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    points = table.where("n > 0").select("id", "n", "point").dropDuplicates(["id"])
+    pairs = pairs.join(points.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
+    pairs = pairs.join(points.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
     star_links = verify(stored(_bounded(pairs, percent)), rows, percent, n)
     linked = components(star_links)
     # Blocks by prefix token; those of one component only are done.
