@@ -306,9 +306,11 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
     """
     rows = _schema_of(docs, id_col, text_col).where("id is not null")
     table = points_table(rows, token_counts(rows, n), percent, n)
-    # One representative of each set: the least id.
-    classes = table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = stored(table.where("n > 0").select("id", "digest").join(classes, "digest").select("id", "rep").distinct())
+    # One representative of each set: the least id. Only repeated sets are stored and joined; as the stored table is a
+    # side of its own, the join can split the rows of a set that very many documents have.
+    classes = stored(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("digest", "rep"))
+    members = table.where("n > 0").select("id", "digest").join(classes, "digest", "left")
+    members = stored(members.select("id", F.coalesce("rep", "id").alias("rep")).distinct())
     reps = members.where("id = rep").select("id").distinct()
     # Stars: each representative against the first of its min-hash blocks.
     heads = stored(table.where("n > 0").select("id", F.explode("stars").alias("star")).join(reps, "id", "left_semi").distinct())
