@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelyard.functions import codes, paths
 from parcelyard.functions.version import evr_key, ver_key
+from parcelyard.operators import headers
 from parcelyard.operators.dedup import first_by
 
 
@@ -190,3 +191,37 @@ def retain_newest(files: DataFrame, n: int) -> DataFrame:
 
 def retain_age(files: DataFrame, now: Column, oldest: Column) -> DataFrame:
     return files.where(now - F.col("mtime") > oldest)
+
+
+def listed_records(files: DataFrame, records: DataFrame) -> DataFrame:
+    """Files that the old manifest lists, without regard to records of another base: outdated when nothing is retained."""
+    own = records.where(F.col("base").isNull()).select(paths.base_name(F.col("href")).alias("_f")).distinct()
+    return files.join(own, paths.base_name(F.col("href")) == F.col("_f"), "left_semi")
+
+
+def survivors(files: DataFrame, outdated: DataFrame, present: DataFrame) -> DataFrame:
+    """Old files that are copied into the new repository: not outdated, not the manifest, and never over a present file."""
+    name = paths.base_name(F.col("href"))
+    gone = outdated.select(paths.base_name(F.col("href")).alias("_f")).unionByName(present.select(paths.base_name(F.col("href")).alias("_f"))).distinct()
+    return files.where(name != "repomd.xml").join(gone, name == F.col("_f"), "left_anti")
+
+
+def unreferenced(removed: DataFrame, records: DataFrame) -> DataFrame:
+    """Removed records whose file no other record names: only these files may be deleted."""
+    used = records.select(paths.clean_href(F.col("href")).alias("_h")).distinct()
+    return removed.join(used, paths.clean_href(F.col("href")) == F.col("_h"), "left_anti")
+
+
+def last_by_type(records: DataFrame, order: str) -> DataFrame:
+    """Additional records: of each type the one added last."""
+    return first_by(records, ["type"], [F.desc(order)])
+
+
+def set_timestamps(records: DataFrame, revision: Column) -> DataFrame:
+    return records.withColumn("timestamp", revision)
+
+
+def route_weak(deps: DataFrame) -> DataFrame:
+    """Old-style weak dependencies (kind, sense) moved to the list that their bits name; ``pre`` on requires only."""
+    moved = deps.withColumn("kind", headers.weak_kind(F.col("kind"), F.col("sense")))
+    return moved.withColumn("pre", F.when(F.col("kind") == "requires", headers.sense_pre(F.col("sense"))))
