@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelyard.functions import codes, paths, version
-from parcelyard.operators import dedup, merge, metadata
+from parcelyard.operators import dedup, headers, merge, metadata, quality
 from parcelyard.plans.views import duck, view
-from parcelyard.sources import snippets
+from parcelyard.sources import files, snippets, writer
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -604,3 +604,135 @@ def other_round_trip(spark, sf):
 @query(f"{duck('pkg')} SELECT ord, {NVRA} || chr(9) || coalesce(location_base, '') || href AS line FROM pkg")
 def pkgorigins(spark, sf):
     return view(spark, sf, "pkg").select("ord", F.concat_ws("\t", version.nvra(*(F.col(c) for c in ("name", "version", "release", "arch"))), F.concat(F.coalesce("location_base", F.lit("")), "href")).alias("line"))
+
+
+# --- headers, lists, retention, quality, documents -------------------------------------------------------------------
+
+
+@query(
+    f"{duck('dep')} SELECT pkgkey, pos, CASE WHEN kind = 'requires' AND opt THEN 'recommends' WHEN kind = 'suggests' AND strong THEN 'recommends' WHEN kind = 'enhances' AND strong THEN 'supplements' ELSE kind END AS kind, "
+    "CASE WHEN kind = 'requires' AND NOT opt THEN early END AS pre FROM (SELECT *, pos % 3 = 0 AS opt, pos % 3 = 1 AS strong, pos % 5 = 0 AS early FROM dep)"
+)
+def weak_deps_routed(spark, sf):
+    """Old-style weak dependencies by their sense bits."""
+    p = F.col("pos")
+    sense = F.when(p % 3 == 0, headers.MISSING_OK).when(p % 3 == 1, headers.STRONG).otherwise(8) + F.when(p % 5 == 0, headers.SCRIPT_PRE).otherwise(0)
+    old = F.when(F.col("kind").isin("suggests", "enhances"), F.concat(F.lit("old"), "kind")).otherwise(F.col("kind"))
+    deps = view(spark, sf, "dep").withColumns({"sense": sense.cast("bigint"), "kind": old})
+    return metadata.route_weak(deps).select("pkgkey", "pos", "kind", "pre")
+
+
+@query(
+    f"{duck('file')} SELECT pos, CASE WHEN pos % 4 = 0 THEN 'dir' WHEN pos % 3 = 0 THEN 'ghost' ELSE '' END AS type, CASE WHEN pos % 5 = 0 THEN 'src' ELSE 'noarch' END AS arch, 'a b' AS author, "
+    "pos % 6 <> 5 AS sound FROM file"
+)
+def header_fields(spark, sf):
+    """File types from mode and flags, architecture of source packages, authors without spaces at the end, sound epochs."""
+    p = F.col("pos")
+    mode, flags = F.when(p % 4 == 0, 0o040755).otherwise(0o100644).cast("bigint"), F.when(p % 3 == 0, headers.GHOST).otherwise(1).cast("bigint")
+    evr = F.when(p % 6 == 5, "x:1").when(p % 6 == 4, "").when(p % 6 == 3, "2:1-1").otherwise("1-1")
+    return view(spark, sf, "file").select(
+        "pos", headers.file_type(mode, flags).alias("type"), headers.package_arch(F.lit("noarch"), F.when(p % 5 == 0, 1)).alias("arch"), headers.trim_author(F.lit("a b  ")).alias("author"), headers.sound_version(evr).alias("sound")
+    )
+
+
+@query(f"{duck('pkg')} SELECT DISTINCT href AS name FROM pkg")
+def recycle_list(spark, sf):
+    return files.recycled_list(view(spark, sf, "pkg"))
+
+
+@query(f"{duck('pkg')}, w AS (SELECT DISTINCT href FROM pkg WHERE repo_id = 1) SELECT ord, href FROM pkg WHERE href IN (SELECT href FROM w)")
+def explicit_list(spark, sf):
+    pkgs = view(spark, sf, "pkg")
+    names = pkgs.where("repo_id = 1").select(F.concat(F.lit("./"), "href").alias("name"))
+    return files.listed(pkgs.withColumn("path", F.col("href")), names).select("ord", "href")
+
+
+@query(f"{duck('pkg')} SELECT ord, row_number() OVER (PARTITION BY repo_id ORDER BY {FILE_NAME.format('href')}, href, ord) AS place FROM pkg")
+def task_order(spark, sf):
+    w = Window.partitionBy("repo_id").orderBy(*files.task_order(), "ord")
+    return view(spark, sf, "pkg").withColumn("path", F.col("href")).select("ord", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT doc_id, sha256(text || 'id') AS key, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS cached FROM documents")
+def cached_checksums(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat("text", F.lit("#"), F.col("doc_id").cast("string")).alias("sign"), files.cached_key(F.col("text"), F.lit("id")).alias("digest"))
+    keyed = docs.select("doc_id", "digest", F.sha2("sign", 256).alias("key"))
+    cache = keyed.where("doc_id % 2 = 0").select("key", F.col("doc_id").cast("string").alias("checksum"))
+    return files.with_cached(keyed, cache).select("doc_id", F.col("digest").alias("key"), "cached")
+
+
+BASES = "based AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'http://other' END AS base FROM record WHERE event_id % 3 = 0)"
+
+
+@query(f"{duck('record')}, {BASES} SELECT event_id FROM record r WHERE {FILE_NAME.format('href')} IN (SELECT {FILE_NAME.format('href')} FROM based WHERE base IS NULL)")
+def retain_listed(spark, sf):
+    """Files of the old manifest, which a build without retention leaves out."""
+    r = view(spark, sf, "record")
+    old = r.where("event_id % 3 = 0").withColumn("base", F.when(F.col("event_id") % 7 == 0, "http://other"))
+    return metadata.listed_records(r, old).select("event_id")
+
+
+@query(f"{duck('record')} SELECT event_id FROM record WHERE event_id % 3 > 0 AND event_id % 5 > 0")
+def retain_survivors(spark, sf):
+    r = view(spark, sf, "record")
+    return metadata.survivors(r, r.where("event_id % 3 = 0"), r.where("event_id % 5 = 0")).select("event_id")
+
+
+@query(f"{duck('record')} SELECT event_id FROM record WHERE event_id % 4 = 0 AND event_id % 8 <> 0")
+def records_unreferenced(spark, sf):
+    r = view(spark, sf, "record")
+    return metadata.unreferenced(r.where("event_id % 4 = 0"), r.where("event_id % 8 = 0")).select("event_id")
+
+
+@query(f"{duck('record')} SELECT type, max(event_id) AS event_id, 7 AS timestamp FROM record GROUP BY 1")
+def records_last(spark, sf):
+    """Additional records, the last of each type, stamped with the revision."""
+    return metadata.set_timestamps(metadata.last_by_type(view(spark, sf, "record"), "event_id"), F.lit(7)).select("type", "event_id", "timestamp")
+
+
+@query(f"{duck('file')} SELECT pos AS pkgkey, 'unknown value' AS code, 'unknown file type: odd' AS message FROM file WHERE pos % 4 = 0 UNION ALL SELECT pos, 'bad attribute value', 'size: ' || pos || 'x' FROM file WHERE pos % 5 = 0 UNION ALL SELECT pos, 'missing attribute', 'size' FROM file WHERE pos % 5 = 1")
+def scan_warnings(spark, sf):
+    """Warnings of a scan as rows: unknown file types, absent and bad numbers."""
+    rows = view(spark, sf, "file").select(F.col("pos").alias("pkgkey"), F.when(F.col("pos") % 4 == 0, "odd").otherwise(F.col("type")).alias("type"))
+    n = F.col("pkgkey")
+    sized = rows.withColumn("size", F.when(n % 5 == 0, F.concat(n.cast("string"), F.lit("x"))).when(n % 5 != 1, n.cast("string")))
+    return quality.file_type_warnings(rows).unionByName(quality.number_warnings(sized, "pkgkey", ["size"]))
+
+
+@query(f"{duck('pkg')} SELECT ord, ord % 10 <> 0 AND ord % 10 <> 1 AS sound FROM pkg")
+def id_quarantine(spark, sf):
+    """Packages without an id are set apart."""
+    pkgs = view(spark, sf, "pkg").withColumn("pkgid", F.when(F.col("ord") % 10 == 0, "").when(F.col("ord") % 10 != 1, F.col("pkgid")))
+    good, bad = quality.quarantine(pkgs, quality.has_id())
+    return good.select("ord", F.lit(True).alias("sound")).unionByName(bad.select("ord", F.lit(False).alias("sound")))
+
+
+@query(f"{duck('pkg')} SELECT ord, ord % 9 = 0 AS bad FROM pkg")
+def forbidden_packages(spark, sf):
+    name = F.when(F.col("ord") % 9 == 0, F.concat("name", F.lit("\x02"))).otherwise(F.concat("name", F.lit("\t\n")))
+    pkgs = view(spark, sf, "pkg").withColumn("name", name)
+    return pkgs.select("ord", writer.forbidden(["name", "href", "location_base"]).alias("bad"))
+
+
+@query(
+    f"{duck('pkg')}, {PAIRS}, x AS (SELECT t.ord, replace(t.name, ' ', '_') AS name, coalesce(nullif(t.epoch, ''), '0') AS epoch, t.version, t.release, t.arch, o.epoch AS oe, o.version AS ov, o.release AS orl, CAST(o.ord AS VARCHAR) AS f "
+    "FROM pairs JOIN pkg t ON t.ord = target JOIN pkg o ON o.ord = old) SELECT name, epoch, version, release, arch, "
+    "'<newpackage name=\"' || name || '\" epoch=\"' || epoch || '\" version=\"' || version || '\" release=\"' || release || '\" arch=\"' || arch || '\">' || "
+    "string_agg('<delta oldepoch=\"' || coalesce(oe, '0') || '\" oldversion=\"' || ov || '\" oldrelease=\"' || orl || '\"><filename>' || f || '</filename><size>1</size></delta>', '' ORDER BY oe NULLS FIRST, ov, orl, f) || '</newpackage>' AS value FROM x GROUP BY 1, 2, 3, 4, 5"
+)
+def delta_document(spark, sf):
+    """Deltas grouped under their new package, as the delta list writes them."""
+    pkgs = view(spark, sf, "pkg")
+    t = pkgs.select(F.col("ord").alias("target"), F.replace("name", F.lit(" "), F.lit("_")).alias("name"), "epoch", "version", "release", "arch")
+    o = pkgs.select(F.col("ord").alias("old"), F.col("epoch").alias("old_epoch"), F.col("version").alias("old_version"), F.col("release").alias("old_release"))
+    rows = delta_pairs(spark, sf).join(t, "target").join(o, "old")
+    nothing = F.lit(None).cast("string")
+    return writer.delta_chunks(rows.withColumns({"filename": F.col("old").cast("string"), "sequence": nothing, "size": F.lit(1), "checksum": nothing, "checksum_type": nothing}))
+
+
+@query(f"{duck('record')} SELECT event_id, '<data type=\"' || type || '\"><checksum type=\"md5\">' || checksum || '</checksum><location href=\"' || href || '\"/><size>' || size || '</size></data>' AS value FROM record")
+def manifest_records(spark, sf):
+    nothing = F.lit(None).cast("string")
+    rows = view(spark, sf, "record").withColumns({"checksum_type": F.lit("md5"), "checksum_open": nothing, "base": nothing, "timestamp": nothing, "size_open": nothing})
+    return rows.select("event_id", writer.record_xml().alias("value"))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from parcelyard.functions import codes, paths
 
 
+#: What the path of a module document contains.
+MODULE_FILES = ("modules.yaml", ".modulemd.yaml", ".modulemd-defaults.yaml")
+
+
 def read_lines(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
     """Lines of a text file without empty ones, such as lists of packages or of blocked source names."""
     return spark.read.text(path).select(F.trim("value").alias(name)).where(F.col(name) != "")
@@ -27,10 +31,11 @@ def recycled_list(old: DataFrame) -> DataFrame:
 
 
 def routed(files: DataFrame) -> DataFrame:
-    """Files with ``role``: package, modules (module documents by name), or null for files that a build does not read."""
-    name = paths.base_name(F.col("path"))
-    modules = name.contains("modulemd.yaml") | name.contains("modules.yaml") | name.contains("modulemd-defaults.yaml") | name.contains("obsoletes.yaml")
-    return files.withColumn("role", F.when(name.endswith(".rpm"), "package").when(modules, "modules"))
+    """Files with ``role``: package, modules (module documents, told by their path), or null for files that a build does not read."""
+    modules = F.lit(False)
+    for part in MODULE_FILES:
+        modules = modules | F.col("path").contains(part)
+    return files.withColumn("role", F.when(modules, "modules").when(F.col("path").endswith(".rpm"), "package"))
 
 
 def task_order() -> list[Column]:
