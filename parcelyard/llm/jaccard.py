@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelyard.llm.components import components
@@ -316,15 +316,17 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
     heads = stored(table.where("n > 0").select("id", F.explode("stars").alias("star")).join(reps, "id", "left_semi").distinct())
     first = heads.groupBy("star").agg(F.min("id").alias("b"), F.count("*").alias("m")).where("m > 1").select("star", "b")
     pairs = heads.join(first, "star").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    points = table.where("n > 0").select("id", "n", "point").dropDuplicates(["id"])
+    # Stored, so that a join can split the pairs of a star's head, however many there are.
+    first_text = F.row_number().over(Window.partitionBy("id").orderBy("digest")) == 1
+    one_each = lambda *cols: table.where("n > 0").select("id", "digest", *cols).withColumn("one", first_text).where("one").select("id", *cols)
+    points = stored(one_each("n", "point"))
     pairs = pairs.join(points.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
     pairs = pairs.join(points.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
     star_links = verify(stored(_bounded(pairs, percent)), rows, percent, n)
     linked = components(star_links)
     # Blocks by prefix token; those of one component only are done.
     known = reps.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    held = table.where("n > 0").select("id", "n", "point", "tokens").join(known, "id")
-    held = stored(held.dropDuplicates(["id"]))
+    held = stored(one_each("tokens").join(known, "id"))
     entries = held.select("id", "component", F.explode("tokens").alias("token"))
     blocks = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("token", "m")
     open_rows = entries.join(blocks, "token")
@@ -333,7 +335,7 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
     # A member of tile t meets every tile u: the pair is named by its lower and higher tile.
     spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda u: F.least(own, u).cast("long") * tiles + F.greatest(own, u))
     open_rows = open_rows.select("id", "component", "token", F.explode(spread).alias("pair"))
-    open_rows = open_rows.join(held.select("id", "n", "point"), "id")
+    open_rows = open_rows.join(points, "id")
     candidates = stored(_tile_pairs(open_rows, percent))
     block_links = verify(candidates, rows, percent, n)
     links = star_links.unionByName(block_links).unionByName(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
