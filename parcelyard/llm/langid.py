@@ -19,6 +19,8 @@ from parcelyard.llm.text import U64
 BUCKETS = 1 << 15
 #: Documents of each language that the likelihoods are learned from, at most.
 SAMPLE_PER_LANGUAGE = 400
+#: How many times as many rows as wanted the choice of the sample is dealt.
+MARGIN = 2
 ITERATIONS = 12
 #: Penalty of each language in the set, times log of the number of trigrams.
 PENALTY = 1.5
@@ -42,12 +44,19 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram likelihoods [BUCKETS, languages] from a bounded, hash-ordered sample of labelled rows.
 
-    The sample is chosen over ids only (a windowed top-k, cut before its shuffle); trigrams are counted on the executors
-    and summed before they reach the driver: at most BUCKETS numbers for each language.
+    Languages are counted first (combined before the shuffle), so that only rows whose hash is low enough to be among the
+    first ``per_language`` are dealt by language, however many a language has. Trigrams are counted on the executors and
+    summed before they reach the driver: at most BUCKETS numbers for each language.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    ids = known.select(id_col, lang_col).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_language).select(id_col).distinct()
+    sizes = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().collect()}
+    # The lowest hashes of a language: the share of the range that holds MARGIN times as many rows as are wanted.
+    ceilings = {k: min(2**63 - 1, int(-(2**63) + 2**64 * MARGIN * per_language / n)) for k, n in sizes.items()}
+    ceiling = F.create_map(*(x for k, top in ceilings.items() for x in (F.lit(k), F.lit(top).cast("bigint"))))[F.col(lang_col)] if ceilings else F.lit(2**63 - 1)
+    hashed = F.xxhash64(F.col(id_col))
+    order = Window.partitionBy(lang_col).orderBy(hashed, F.col(id_col))
+    low = known.select(id_col, lang_col).where(hashed <= ceiling)
+    ids = low.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_language).select(id_col).distinct()
     sample = known.join(F.broadcast(ids), id_col).select(lang_col, text_col)
 
     def count(batches):
