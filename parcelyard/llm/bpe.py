@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from parcelyard.llm.shared import small_batches
+
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's memo of pre-tokens holds before it starts afresh.
@@ -273,7 +275,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True, keep: tuple[str, .
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", n_tokens bigint, " + "token_ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col, *keep)).mapInArrow(run, schema)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,4 +293,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(over, pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

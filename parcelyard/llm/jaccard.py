@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelyard.llm.components import components
-from parcelyard.llm.shared import stored
+from parcelyard.llm.shared import small_batches, stored
 from parcelyard.llm.text import ASCII_SPACE, U64, as_bytes, chunks, lower_ascii, mix, span_hashes, word_table, words
 
 GROUPS, FULL = 256, 255
@@ -304,7 +304,7 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
     have an empty set and link with nothing. Repeated rows are one class. Rows of null id are left out. Equal ids with
     different texts count as linked.
     """
-    rows = _schema_of(docs, id_col, text_col).where("id is not null")
+    rows = small_batches(_schema_of(docs, id_col, text_col).where("id is not null"))
     table = points_table(rows, token_counts(rows, n), percent, n)
     # One representative of each set: the least id. Only repeated sets are stored and joined; as the stored table is a
     # side of its own, the join can split the rows of a set that very many documents have.

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelyard.llm.shared import small_batches
 from parcelyard.llm.text import U64
 
 BUCKETS = 1 << 15
@@ -72,7 +73,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "bucket", "n"])
 
-    summed = sample.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = small_batches(sample).mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(summed["lang"].unique())
     table = np.zeros((BUCKETS, max(1, len(langs))))
     for k, lang in enumerate(langs):
@@ -136,4 +137,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 sets.append([langs[chosen[k]] for k in order])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], [id_col, "lang_pred", "score", "languages"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, languages array<string>")
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, languages array<string>")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.llm.shared import small_batches
 from parcelyard.llm.text import CHUNK, U64, as_bytes, chunks, mix, span_hashes
 
 #: Names kept of a text, and the levels whose names count (a phrase of level 2 has about 8 bytes, one of level 3 about 25).
@@ -121,7 +122,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = sketches(*as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hex(x) for x in found], pa.string())], [id_col, "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint string")
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,4 +208,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield finish(rows)
 
     schema = f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return small_batches(with_next(docs, id_col, text_col)).mapInArrow(run, schema)

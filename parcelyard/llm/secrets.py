@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parcelyard.llm.shared import small_batches
+
 #: The base patterns; letters of the assignment's name in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -254,7 +256,7 @@ def scan(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id"
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     rows = docs.drop(found_col) if keep_text else docs.select(id_col, text_col)
     schema = ", ".join(f"`{n}` {t}" for n, t in (rows.dtypes if keep_text else [(id_col, dict(docs.dtypes)[id_col])]))
-    return rows.mapInArrow(run, f"{schema}, `{found_col}` array<struct<kind: string, start: int, `end`: int, score: double>>")
+    return small_batches(rows).mapInArrow(run, f"{schema}, `{found_col}` array<struct<kind: string, start: int, `end`: int, score: double>>")
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "<SECRET>") -> str:

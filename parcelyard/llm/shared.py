@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that the driver and all executors share."""
+"""Tables that cut lineage, in the folder that the driver and all executors share, and the size of Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of a batch of texts that a Python worker is sent at once, so that its memory doesn't follow the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a new local folder only where it is unset, as in tests."""
@@ -22,3 +25,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/parcelyard-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, its session's Arrow batches held to BATCH_ROWS and BATCH_BYTES; smaller ones of the session's own stay."""
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelyard.llm.shared import small_batches
 from parcelyard.llm.text import U64, as_bytes, chunks, lower_ascii, mix, span_hashes, word_table, words
 
 #: Base buckets; TIMES: a term stands for "at least so often in the text", so a bucket is a base and a place in TIMES.
@@ -113,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             at = np.flatnonzero(all_docs)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(all_docs[at], pa.int64()), pa.array(toxic[at].astype(np.int64))], ["bucket", "n", "toxic"])
 
-    sums = sample.mapInArrow(tally, "bucket int, n bigint, toxic bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCUMENTS)
+    sums = small_batches(sample).mapInArrow(tally, "bucket int, n bigint, toxic bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCUMENTS)
     size = chosen.agg(F.count("*").alias("n"), F.sum("_label").alias("toxic")).first()
     stats = sums.toPandas().sort_values("bucket")
     terms = screen(stats["bucket"].to_numpy(np.int64), stats["n"].to_numpy(float), stats["toxic"].to_numpy(float), size.n, float(size.toxic or 0))
@@ -213,4 +214,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), found], [id_col, score_col])
 
     kept = rows.dtypes if keep else [(id_col, dict(rows.dtypes)[id_col])]
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + f", `{score_col}` double")
+    return small_batches(rows).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + f", `{score_col}` double")
