@@ -49,7 +49,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.n
         total = np.zeros(len(names), U64)
         factor = 1
         for k in range(n):
-            total[: len(names) - k] += names[k:] * U64(factor)
+            total[: max(0, len(names) - k)] += names[k:] * U64(factor)
             factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
         grams = mix(total)
         for k in range(j - i):

@@ -96,6 +96,14 @@ def test_jaccard_is_brute_force(spark, docs, awkward):
     assert jaccard.join(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d", "a b c d e", "x" * (1 << 20) + " y"])
+def test_short_texts_alone(text):
+    """A chunk of fewer words than an n-gram has: a table of one row, or a long text of few words beside others."""
+    sets = lambda texts: [s.tolist() for s in jaccard.shingle_sets(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))]
+    alone, both = sets([text]), sets(["k l m n o p", text])
+    assert len(alone[0]) == 1 and both[1] == alone[0] and len(both[0]) == 2
+
+
 def test_tree_pairs_are_all_pairs():
     rng = np.random.default_rng(1)
     base = [rng.integers(0, 1 << 63, 90, dtype=np.uint64) for _ in range(20)]
