@@ -5,7 +5,8 @@ counts are the document's point. Two sets can share at most the sum over groups
 box bounds that for all points in it at once, so subtrees and pairs that can't reach the threshold are left out; surviving
 pairs are verified on the whole texts.
 
-How it is spread: documents of equal sets are one class first. A pair that reaches the threshold shares a token among each
+How it is spread: documents of equal sets are one class first, and one row stands for each distinct set, whatever its id
+(an id may have several texts). A pair that reaches the threshold shares a token among each
 one's first n - ceil(t n) + 1 tokens of any common order, so each such token is a block, and every block is searched by
 R-trees of its own. The order puts tokens that are frequent in the whole table last. Blocks whose members are all known to
 be connected (through links to the block's first member by a few min-hash tokens, verified too) have nothing to add, so
@@ -19,7 +20,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.llm.components import components
@@ -168,7 +169,11 @@ def token_counts(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> DataFrame:
-    """Stored rows (id, digest, n, point, stars, tokens): set digest and size, count vector, min-hashes and prefix tokens."""
+    """Stored rows (key, id, sig, digest, n, point, stars, tokens), one for each of rows.
+
+    key is a number of the row's own; id and the text's hash sig find its text again. Then come the set's digest and size, its
+    count vector, min-hashes and prefix tokens.
+    """
     spark = rows.sparkSession
     mean = max(1.0, counts.mean())
     # 0: usual; higher: the more frequent. Any fixed order of tokens keeps the search exact.
@@ -177,7 +182,7 @@ def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> D
 
     def run(batches):
         for batch in batches:
-            ids, digests, sizes, points, stars, tokens = batch.column(0), [], [], [], [], []
+            digests, sizes, points, stars, tokens = [], [], [], [], []
             for s in shingle_sets(*as_bytes(batch.column(1)), n):
                 m = len(s)
                 sizes.append(m)
@@ -194,10 +199,11 @@ def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> D
                 keep = m - -(-percent * m // 100) + 1
                 order = np.lexsort((both, rank.value[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
                 tokens.append(s[order].astype(np.int64))
-            cols = [ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "n", "point", "stars", "tokens"])
+            cols = [batch.column(2), batch.column(0), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "id", "sig", "digest", "n", "point", "stars", "tokens"])
 
-    return stored(rows.mapInArrow(run, "id bigint, digest binary, n bigint, point binary, stars array<bigint>, tokens array<bigint>"))
+    keyed = rows.select("id", "text", F.monotonically_increasing_id().alias("key"), F.xxhash64("text").alias("sig"))
+    return stored(keyed.mapInArrow(run, "key bigint, id bigint, sig bigint, digest binary, n bigint, point binary, stars array<bigint>, tokens array<bigint>"))
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -215,24 +221,31 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verify(pairs: DataFrame, rows: DataFrame, percent: int, n: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets reach the threshold, compared on their whole texts (compressed on the way)."""
+def verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame, percent: int, n: int) -> DataFrame:
+    """Of the pairs (a, b) of keys those whose sets reach the threshold, with the ids (id_a, id_b) of their rows.
+
+    Compared on the whole texts, which are compressed on the way; sets (key, id, sig, again) says which row's text it is.
+    """
 
     def squeeze(batches):
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "z"])
-
-    packed = rows.mapInArrow(squeeze, "id bigint, z binary")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(packed.join(ids, "id", "left_semi"))
-    first = pairs.join(wanted.select(F.col("id").alias("a"), F.col("z").alias("z_a")), "a")
-    both = first.join(wanted.select(F.col("id").alias("b"), F.col("z").alias("z_b")), "b").select("a", "b", "z_a", "z_b")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([packer.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "sig", "z"])
+
+    packed = rows.select("id", "text", F.xxhash64("text").alias("sig")).mapInArrow(squeeze, "id bigint, sig bigint, z binary")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # Stored, so that its size is known and all texts are not shuffled where it is small.
+    needs = stored(sets.join(keys, "key", "left_semi"))
+    found = stored(packed.join(needs, ["id", "sig"]).select("key", "id", "z", "again"))
+    # Rows that repeat with id and text are found more than once.
+    repeated = found.where("again").groupBy("key").agg(F.min("id").alias("id"), F.first("z").alias("z"))
+    wanted = found.where("not again").select("key", "id", "z").unionByName(repeated)
+    first = pairs.join(wanted.select(F.col("key").alias("a"), F.col("id").alias("id_a"), F.col("z").alias("z_a")), "a")
+    both = first.join(wanted.select(F.col("key").alias("b"), F.col("id").alias("id_b"), F.col("z").alias("z_b")), "b").select("a", "b", "z_a", "z_b", "id_a", "id_b")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
             keep = np.zeros(batch.num_rows, bool)
             known: dict[bytes, np.ndarray] = {}
             for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
@@ -249,9 +262,9 @@ def verify(pairs: DataFrame, rows: DataFrame, percent: int, n: int) -> DataFrame
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 keep[k] = common and 100 * common >= percent * (len(s) + len(t) - common)
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1, 4, 5)], ["a", "b", "id_a", "id_b"])
 
-    return stored(both.mapInArrow(run, "a bigint, b bigint"))
+    return stored(both.mapInArrow(run, "a bigint, b bigint, id_a bigint, id_b bigint"))
 
 
 def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +306,7 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     def as_batch(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    rows = members.select("token", "pair", "id", "component", "n", "point")
+    rows = members.select("token", "pair", "key", "component", "n", "point")
     return rows.repartition("token", "pair").sortWithinPartitions("token", "pair").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -306,39 +319,39 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
     """
     rows = small_batches(_schema_of(docs, id_col, text_col).where("id is not null"))
     table = points_table(rows, token_counts(rows, n), percent, n)
-    # One representative of each set: the least id. Only repeated sets are stored and joined; as the stored table is a
+    # One row stands for each set: that of least key. Only repeated sets are stored and joined; as the stored table is a
     # side of its own, the join can split the rows of a set that very many documents have.
-    classes = stored(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("digest", "rep"))
-    members = table.where("n > 0").select("id", "digest").join(classes, "digest", "left")
-    members = stored(members.select("id", F.coalesce("rep", "id").alias("rep")).distinct())
-    reps = members.where("id = rep").select("id").distinct()
-    # Stars: each representative against the first of its min-hash blocks.
-    heads = stored(table.where("n > 0").select("id", F.explode("stars").alias("star")).join(reps, "id", "left_semi").distinct())
-    first = heads.groupBy("star").agg(F.min("id").alias("b"), F.count("*").alias("m")).where("m > 1").select("star", "b")
-    pairs = heads.join(first, "star").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    classes = stored(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "rep", "first"))
+    members = table.where("n > 0").select("key", "id", "sig", "digest").join(classes, "digest", "left")
+    members = stored(members.select("key", "id", "sig", F.coalesce("rep", "id").alias("rep"), F.coalesce("first", "key").alias("first"), F.col("first").isNotNull().alias("again")))
+    sets = members.where("key = first").select("key", "id", "sig", "again")
+    # Stars: each set against the first of its min-hash blocks.
+    heads = stored(table.where("n > 0").select("key", F.explode("stars").alias("star")).join(sets.select("key"), "key", "left_semi").distinct())
+    first = heads.groupBy("star").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("star", "b")
+    pairs = heads.join(first, "star").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
     # Stored, so that a join can split the pairs of a star's head, however many there are.
-    first_text = F.row_number().over(Window.partitionBy("id").orderBy("digest")) == 1
-    one_each = lambda *cols: table.where("n > 0").select("id", "digest", *cols).withColumn("one", first_text).where("one").select("id", *cols)
-    points = stored(one_each("n", "point"))
-    pairs = pairs.join(points.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
-    pairs = pairs.join(points.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
-    star_links = verify(stored(_bounded(pairs, percent)), rows, percent, n)
-    linked = components(star_links)
+    points = stored(table.where("n > 0").select("key", "n", "point").join(sets.select("key"), "key", "left_semi"))
+    pairs = pairs.join(points.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
+    pairs = pairs.join(points.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
+    star_links = verify(stored(_bounded(pairs, percent)), sets, rows, percent, n)
+    linked = components(star_links).withColumnRenamed("id", "key")
     # Blocks by prefix token; those of one component only are done.
-    known = reps.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    held = stored(one_each("tokens").join(known, "id"))
-    entries = held.select("id", "component", F.explode("tokens").alias("token"))
+    known = sets.select("key").join(linked, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+    held = stored(table.where("n > 0").select("key", "tokens").join(known, "key"))
+    entries = held.select("key", "component", F.explode("tokens").alias("token"))
     blocks = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("token", "m")
     open_rows = entries.join(blocks, "token")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    own = F.pmod(F.xxhash64("key"), tiles).cast("int")
     # A member of tile t meets every tile u: the pair is named by its lower and higher tile.
     spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda u: F.least(own, u).cast("long") * tiles + F.greatest(own, u))
-    open_rows = open_rows.select("id", "component", "token", F.explode(spread).alias("pair"))
-    open_rows = open_rows.join(points, "id")
+    open_rows = open_rows.select("key", "component", "token", F.explode(spread).alias("pair"))
+    open_rows = open_rows.join(points, "key")
     candidates = stored(_tile_pairs(open_rows, percent))
-    block_links = verify(candidates, rows, percent, n)
-    links = star_links.unionByName(block_links).unionByName(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    block_links = verify(candidates, sets, rows, percent, n)
+    # Links of sets are links of the ids that have them, so all sets of an id hang together.
+    links = star_links.unionByName(block_links).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    links = links.unionByName(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     final = components(links)
     sized = table.select("id", F.col("n").alias("n_shingles"))
     out = sized.join(final, "id", "left")

@@ -96,6 +96,22 @@ def test_jaccard_is_brute_force(spark, docs, awkward):
     assert jaccard.join(empty(spark)).count() == 0
 
 
+def test_jaccard_links_every_text_of_an_id(spark):
+    """Ids with several texts: each text links, whichever digest is the least; also in chains and with repeated rows."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        texts = [" ".join(f"g{g}t{t}w{k}" for k in range(60)) for t in range(3)]
+        near = lambda t: t.rsplit(" ", 3)[0] + " p q r"
+        i = 100 * g
+        rows += [(i + 6, t) for t in texts] + [(i + 7 + k, t) for k, t in enumerate(texts)] + [(i + 17 + k, near(t)) for k, t in enumerate(texts)]
+    rows += [(3000, t) for _, t in rng.sample(rows, 4)] + rng.choices(rows, k=20) + near_copies(10, 5)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in jaccard.join(df).collect()]
+    assert set(got) == brute_components(rows) and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d", "a b c d e", "x" * (1 << 20) + " y"])
 def test_short_texts_alone(text):
     """A chunk of fewer words than an n-gram has: a table of one row, or a long text of few words beside others."""
