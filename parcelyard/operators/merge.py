@@ -94,8 +94,8 @@ def koji_merge(pkgs: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def substitute_noarch(pkgs: DataFrame, designated: DataFrame, file: Column) -> DataFrame:
-    """noarch rows take pkgid and base of the designated repository's row of the same file name, if there is one."""
-    other = designated.select(file.alias("_file"), F.col("pkgid").alias("_pkgid"), F.col("repo_id").alias("_repo")).dropDuplicates(["_file"])
+    """noarch rows take pkgid and base of the designated repository's first row of the same file name, if there is one."""
+    other = first_by(designated.withColumn("_file", file), ["_file"], ["ord"]).select("_file", F.col("pkgid").alias("_pkgid"), F.col("repo_id").alias("_repo"))
     joined = pkgs.join(other, (file == F.col("_file")) & (F.col("arch") == "noarch"), "left")
     return joined.withColumns({"pkgid": F.coalesce("_pkgid", "pkgid"), "repo_id": F.coalesce("_repo", "repo_id")}).drop("_file", "_pkgid", "_repo")
 
