@@ -7,8 +7,10 @@ Two engines work on one public vocabulary file:
 * ``HeapCounter`` only counts: a heap of ranked pairs over a doubly linked list of symbols; the count is the number
   of starting symbols less the merges, and no identifier is made.
 
-Pre-tokens repeat, so both keep a bounded memo per Python worker. Texts stay whole. A null text counts as empty; empty texts
-have no tokens. Special strings inside a text become their own token, as the tokenizer file says.
+Pre-tokens repeat, so both keep a bounded memo, which ends with the task. Texts stay whole. A null text counts as empty; empty
+texts have no tokens. Special strings inside a text become their own token, as the tokenizer file says. Very long texts are a
+slice of their own; repeated rows get repeated results; an empty table gives an empty result; columns that are not named are
+not read, and a column to keep that is named like a column of the result is left out.
 """
 
 from __future__ import annotations
@@ -17,18 +19,20 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from parcelyard.llm.shared import small_batches
+from parcelyard.llm.text import slices
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a worker's memo of pre-tokens holds before it starts afresh.
-MEMO = 800_000
+#: Pre-tokens of the younger half of a memo; a full half becomes the older one. The two hold some 50 MB at most.
+MEMO = 100_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_BYTES = 64
 
@@ -88,53 +92,65 @@ def pre_tokens(text: str) -> list[str]:
     return (_PRECISE if _UNUSUAL.search(text) else _QUICK).findall(text)
 
 
-class SegmentTreeEncoder:
-    """Encodes pre-tokens by repeated leftmost lowest-rank merges found at the root of a segment tree."""
-
-    NONE = 1 << 62
+class Memo:
+    """What a task has found for pre-tokens, in two halves: what the younger lacks is taken over from the older."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.v, self.memo, self.older = vocabulary, {}, {}
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        found = self.memo.get(piece)
+    def turn(self) -> None:
+        """Called between texts: a full younger half becomes the older one."""
+        if len(self.memo) >= MEMO:
+            self.memo, self.older = {}, self.memo
+
+    def word(self, piece: str):
+        """The finding for a pre-token that the younger half lacks."""
+        found = self.older.get(piece)
         if found is None:
-            first = self.v.first
-            data = piece.encode("utf-8")
-            found = self.merge([first[b] for b in data])
-            if len(data) <= MEMO_BYTES:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = found
+            found = self.find(piece)
+        if len(piece) <= MEMO_BYTES:
+            self.memo[piece] = found
         return found
 
+
+class SegmentTreeEncoder(Memo):
+    """Encodes pre-tokens by repeated leftmost lowest-rank merges found at the root of a segment tree."""
+
+    NONE = 1 << 62
+
+    def find(self, piece: str) -> tuple[int, ...]:
+        first = self.v.first
+        return self.merge([first[b] for b in piece.encode("utf-8")])
+
     def merge(self, ids: list[int]) -> tuple[int, ...]:
-        n = len(ids)
-        if n < 2:
+        last = len(ids) - 1
+        if last < 1:
             return tuple(ids)
         rank, merged, none = self.v.rank.get, self.v.merged, self.NONE
-        bits = (n - 1).bit_length()
+        bits = (last - 1).bit_length()
         size, mask = 1 << bits, (1 << bits) - 1
         # A leaf holds the rank of the pair that starts there, then its place: the least key is the leftmost lowest rank.
         tree = [none] * (2 * size)
-        for i in range(n - 1):
+        for i in range(last):
             r = rank(ids[i] << 32 | ids[i + 1])
             if r is not None:
                 tree[size + i] = r << bits | i
         for k in range(size - 1, 0, -1):
             a, b = tree[2 * k], tree[2 * k + 1]
             tree[k] = a if a < b else b
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        left, right = list(range(-1, last)), list(range(1, last + 2))
         while (root := tree[1]) != none:
             i = root & mask
             j = right[i]
             new = ids[i] = merged[root >> bits]
             ids[j] = -1
             after = right[i] = right[j]
-            low, high = size + i, size + j
-            tree[high] = tree[low] = none
-            if after < n:
+            low = high = size + i
+            tree[low] = none
+            if j < last:
+                high = size + j
+                tree[high] = none
+            if after <= last:
                 left[after] = i
                 r = rank(new << 32 | ids[after])
                 if r is not None:
@@ -156,6 +172,7 @@ class SegmentTreeEncoder:
         return tuple([x for x in ids if x >= 0])
 
     def encode(self, text: str) -> list[int]:
+        self.turn()
         out: list[int] = []
         memo, word = self.memo, self.word
         for special, pieces in self.v.pieces(text):
@@ -170,23 +187,11 @@ class SegmentTreeEncoder:
         return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
 
 
-class HeapCounter:
+class HeapCounter(Memo):
     """Counts the tokens of pre-tokens with a heap of ranked pairs over a linked list."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.memo: dict[str, int] = {}
-
-    def word(self, piece: str) -> int:
-        found = self.memo.get(piece)
-        if found is None:
-            data = piece.encode("utf-8")
-            found = self.count(data)
-            if len(data) <= MEMO_BYTES:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = found
-        return found
+    def find(self, piece: str) -> int:
+        return self.count(piece.encode("utf-8"))
 
     def count(self, data: bytes) -> int:
         n = len(data)
@@ -229,6 +234,7 @@ class HeapCounter:
         return n - merges
 
     def tokens(self, text: str) -> int:
+        self.turn()
         total, memo, word = 0, self.memo.get, self.word
         for special, pieces in self.v.pieces(text):
             total += special >= 0
@@ -237,53 +243,47 @@ class HeapCounter:
         return total
 
 
-_kept: dict[tuple, object] = {}
-
-
-def engine(kind: type, path: str):
-    """The encoder or counter of this Python worker; its memo serves the worker's later tasks too."""
-    if (kind, path) not in _kept:
-        _kept[kind, path] = kind(Vocabulary(path))
-    return _kept[kind, path]
-
-
 def encode(docs: DataFrame, path: str, with_ids: bool = True, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every text: id column, columns to keep, n_tokens, token_ids (if asked for), ids_sha256, decoded_sha256, round_trip.
 
     No shuffle; one pass over the texts. Null texts are encoded as empty ones: no ids, digest of the empty string.
-    Repeated rows give repeated results; other columns of the input are not read.
     """
+    made = ["n_tokens"] + ["token_ids"] * with_ids + ["ids_sha256", "decoded_sha256", "round_trip"]
+    keep = tuple(c for c in keep if c not in (*made, id_col))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"k{k}") for k, c in enumerate(keep)))
 
     def run(batches):
-        encoder, sha = engine(SegmentTreeEncoder, path), hashlib.sha256
-        for batch in batches:
-            counts, id_lists, ids_sha, text_sha, same = [], [], [], [], []
+        encoder, sha = SegmentTreeEncoder(Vocabulary(path)), hashlib.sha256
+        for batch in slices(batches, 1):
+            ends, flat, ids_sha, text_sha, same = [0], array("i"), [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 ids = encoder.encode(text)
                 decoded = encoder.decode(ids)
-                counts.append(len(ids))
+                ends.append(ends[-1] + len(ids))
                 if with_ids:
-                    id_lists.append(ids)
+                    flat.extend(ids)
                 ids_sha.append(sha(repr(ids)[1:-1].replace(" ", "").encode()).hexdigest())
                 text_sha.append(sha(decoded.encode("utf-8")).hexdigest())
                 same.append(decoded == text)
-            cols = [batch.column(0), *batch.columns[2:], pa.array(counts, pa.int64())] + ([pa.array(id_lists, pa.list_(pa.int32()))] if with_ids else [])
+            ends = np.array(ends, np.int32)
+            cols = [batch.column(0), *batch.columns[2:], pa.array(np.diff(ends).astype(np.int64))]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(flat, np.int32))))
             cols += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
-            names = [id_col, *keep, "n_tokens"] + ["token_ids"] * with_ids + ["ids_sha256", "decoded_sha256", "round_trip"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, [id_col, *keep, *made])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", n_tokens bigint, " + "token_ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return small_batches(docs.select(id_col, text_col, *keep)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count the tokens of every text: id column, n_bytes, n_tokens, over_limit (n_tokens > limit). Null counts as empty."""
+    """Count the tokens of every text: id column, n_bytes, n_tokens, over_limit (n_tokens > limit). Null counts as empty. One pass, no shuffle."""
 
     def run(batches):
-        counter = engine(HeapCounter, path)
-        for batch in batches:
+        counter = HeapCounter(Vocabulary(path))
+        for batch in slices(batches, 1):
             sizes, counts = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -293,4 +293,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(over, pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(docs.dtypes)[id_col]
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

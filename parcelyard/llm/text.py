@@ -6,14 +6,17 @@ and in every run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes handled at once inside a task; bounds the memory of the temporary arrays.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ASCII_SPACE = (9, 10, 11, 12, 13, 32)
 
 
@@ -65,6 +68,18 @@ def chunks(offsets: np.ndarray, size: int = CHUNK):
         i = j
 
 
+def slices(batches, column: int, rows: int = 2000, size: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and about so many bytes of a text column; a longer text is a slice of its own.
+
+    What a task holds besides the batch that Spark sends then doesn't follow the batch.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for i, j in chunks(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), size):
+            for k in range(i, j, rows):
+                yield batch.slice(k, min(rows, j - k))
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
