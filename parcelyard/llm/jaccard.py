@@ -10,11 +10,14 @@ How it is spread: documents of equal sets are one class first, and one row stand
 one's first n - ceil(t n) + 1 tokens of any common order, so each such token is a block, and every block is searched by
 R-trees of its own. The order puts tokens that are frequent in the whole table last. Blocks whose members are all known to
 be connected (through links to the block's first member by a few min-hash tokens, verified too) have nothing to add, so
-large groups of near copies are not paired out. Large blocks are searched tile by tile, each tile a task row of its own.
+large groups of near copies are not paired out. A large block is cut into tiles of like size and min-hash, which are leaves
+of its R-tree on the upper level: boxes of the tiles are joined first, and only the members of tiles whose boxes can hold
+a pair meet. Texts are shipped last, and only those of the pairs that are left.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -24,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.llm.components import components
-from parcelyard.llm.shared import small_batches, stored
-from parcelyard.llm.text import ASCII_SPACE, U64, as_bytes, chunks, lower_ascii, mix, span_hashes, word_table, words
+from parcelyard.llm.shared import Scratch, small
+from parcelyard.llm.text import ASCII_SPACE, U64, as_bytes, chunks, lower_ascii, mix, slices, span_hashes, word_table, words
 
 GROUPS, FULL = 256, 255
 #: Entries of the table of approximate token counts, in how many pieces it is summed, and how many times the mean count
@@ -142,17 +145,13 @@ class RTree:
                 stack += ((i, left2), (i, right2))
 
 
-def _schema_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-
 def token_counts(rows: DataFrame, n: int) -> np.ndarray:
     """Approximate counts over the whole table: tokens by the top SKETCH_BITS of their hash. A fixed-size table."""
 
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for tokens in shingle_sets(*as_bytes(batch.column(1)), n):
+        for batch in slices(batches, 0):
+            for tokens in shingle_sets(*as_bytes(batch.column(0)), n):
                 np.add.at(total, (tokens >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
         parts = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in np.split(total, PIECES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
@@ -161,18 +160,18 @@ def token_counts(rows: DataFrame, n: int) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in piece.column("counts"))
         return pa.table({"piece": piece.column("piece").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    summed = rows.mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
+    summed = rows.select("text").mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
     out = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.int64)
     for r in summed:
         out[r.piece] = np.frombuffer(zlib.decompress(r.counts), np.int64)
     return out.ravel()
 
 
-def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> DataFrame:
-    """Stored rows (key, id, sig, digest, n, point, stars, tokens), one for each of rows.
+def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int, scratch: Scratch) -> DataFrame:
+    """Stored rows (key, id, sig, digest, n, point, stars, tokens, z), one for each of rows.
 
-    key is a number of the row's own; id and the text's hash sig find its text again. Then come the set's digest and size, its
-    count vector, min-hashes and prefix tokens.
+    key is a number of the row's own, sig the hash of its text. Then come the set's digest and size, its count vector, min-hashes and prefix tokens,
+    and the compressed text, which is read again only for pairs that have to be verified.
     """
     spark = rows.sparkSession
     mean = max(1.0, counts.mean())
@@ -181,9 +180,10 @@ def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> D
     seeds = [U64(s) for s in (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9DDFEA08EB382D69, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)][:STARS]
 
     def run(batches):
-        for batch in batches:
-            digests, sizes, points, stars, tokens = [], [], [], [], []
-            for s in shingle_sets(*as_bytes(batch.column(1)), n):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches, 1):
+            digests, sizes, points, stars, tokens, packed = [], [], [], [], [], []
+            for s, text in zip(shingle_sets(*as_bytes(batch.column(1)), n), batch.column(1)):
                 m = len(s)
                 sizes.append(m)
                 if not m:
@@ -191,6 +191,7 @@ def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> D
                     points.append(None)
                     stars.append([])
                     tokens.append(np.empty(0, np.int64))
+                    packed.append(None)
                     continue
                 both = mix(s ^ U64(0x5851F42D4C957F2D))
                 digests.append(int(s.sum(dtype=U64)).to_bytes(8, "big") + int((both * (s | U64(1))).sum(dtype=U64)).to_bytes(8, "big"))
@@ -199,11 +200,15 @@ def points_table(rows: DataFrame, counts: np.ndarray, percent: int, n: int) -> D
                 keep = m - -(-percent * m // 100) + 1
                 order = np.lexsort((both, rank.value[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
                 tokens.append(s[order].astype(np.int64))
-            cols = [batch.column(2), batch.column(0), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "id", "sig", "digest", "n", "point", "stars", "tokens"])
+                packed.append(packer.compress(text.as_buffer()))
+            cols = [batch.column(2), batch.column(0), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(stars, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "id", "sig", "digest", "n", "point", "stars", "tokens", "z"])
 
     keyed = rows.select("id", "text", F.monotonically_increasing_id().alias("key"), F.xxhash64("text").alias("sig"))
-    return stored(keyed.mapInArrow(run, "key bigint, id bigint, sig bigint, digest binary, n bigint, point binary, stars array<bigint>, tokens array<bigint>"))
+    kind = dict(rows.dtypes)["id"]
+    out = scratch.store(keyed.mapInArrow(run, f"key bigint, id {kind}, sig bigint, digest binary, n bigint, point binary, stars array<bigint>, tokens array<bigint>, z binary"))
+    rank.destroy()
+    return out
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -221,53 +226,117 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame, percent: int, n: int) -> DataFrame:
-    """Of the pairs (a, b) of keys those whose sets reach the threshold, with the ids (id_a, id_b) of their rows.
+def verify(pairs: DataFrame, table: DataFrame, percent: int, n: int, scratch: Scratch) -> DataFrame:
+    """Of the pairs (a, b) of keys those whose sets reach the threshold, compared on the whole texts.
 
-    Compared on the whole texts, which are compressed on the way; sets (key, id, sig, again) says which row's text it is.
+    The keys that the pairs have come first; only their texts are read from the table and shuffled.
     """
-
-    def squeeze(batches):
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([packer.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "sig", "z"])
-
-    packed = rows.select("id", "text", F.xxhash64("text").alias("sig")).mapInArrow(squeeze, "id bigint, sig bigint, z binary")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # Stored, so that its size is known and all texts are not shuffled where it is small.
-    needs = stored(sets.join(keys, "key", "left_semi"))
-    found = stored(packed.join(needs, ["id", "sig"]).select("key", "id", "z", "again"))
-    # Rows that repeat with id and text are found more than once.
-    repeated = found.where("again").groupBy("key").agg(F.min("id").alias("id"), F.first("z").alias("z"))
-    wanted = found.where("not again").select("key", "id", "z").unionByName(repeated)
-    first = pairs.join(wanted.select(F.col("key").alias("a"), F.col("id").alias("id_a"), F.col("z").alias("z_a")), "a")
-    both = first.join(wanted.select(F.col("key").alias("b"), F.col("id").alias("id_b"), F.col("z").alias("z_b")), "b").select("a", "b", "z_a", "z_b", "id_a", "id_b")
+    keys = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    wanted = scratch.store(table.select("key", "z").join(small(keys), "key", "left_semi"))
+    first = pairs.join(wanted.select(F.col("key").alias("a"), F.col("z").alias("z_a")), "a")
+    both = first.join(wanted.select(F.col("key").alias("b"), F.col("z").alias("z_b")), "b").select("a", "b", "z_a", "z_b")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        known: dict[bytes, np.ndarray] = {}
+
+        def tokens(z: bytes) -> np.ndarray:
+            found = known.get(z)
+            if found is None:
+                if len(known) >= 256:
+                    known.clear()
+                text = np.frombuffer(unpack(z), np.uint8)
+                found = known[z] = shingle_sets(text, np.array([0, len(text)]), n)[0]
+            return found
+
+        for batch in slices(batches, 2):
             keep = np.zeros(batch.num_rows, bool)
-            known: dict[bytes, np.ndarray] = {}
             for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                for z in (x, y):
-                    if z not in known:
-                        if len(known) > 256:
-                            known.clear()
-                        text = np.frombuffer(unpack(z), np.uint8)
-                        known[z] = shingle_sets(text, np.array([0, len(text)]), n)[0]
-                s, t = known.get(x), known.get(y)
-                if s is None:  # the memo was emptied in between
-                    text = np.frombuffer(unpack(x), np.uint8)
-                    s = known[x] = shingle_sets(text, np.array([0, len(text)]), n)[0]
+                s, t = tokens(x), tokens(y)
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 keep[k] = common and 100 * common >= percent * (len(s) + len(t) - common)
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1, 4, 5)], ["a", "b", "id_a", "id_b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    return stored(both.mapInArrow(run, "a bigint, b bigint, id_a bigint, id_b bigint"))
+    return scratch.store(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
+def boxes(tiled: DataFrame) -> DataFrame:
+    """Rows (token, tile, class, top, low, high, x, y): largest group counts, least and largest set size and component of each tile."""
+
+    def run(batches):
+        open_key, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, tile, size_class, comp, size = (batch.column(k).to_numpy() for k in range(5))
+            points = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, GROUPS)
+            cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])])
+            found = [np.maximum.reduceat(points, cuts, 0), np.minimum.reduceat(size, cuts), np.maximum.reduceat(size, cuts), np.minimum.reduceat(comp, cuts), np.maximum.reduceat(comp, cuts)]
+            keys = list(zip(token[cuts].tolist(), tile[cuts].tolist(), size_class[cuts].tolist()))
+            rows = [list(x) for x in zip(found[0], *(x.tolist() for x in found[1:]))]
+            if held and keys[0] == open_key:  # the tile goes on from the batch before
+                (top, low, high, x, y), r = held, rows[0]
+                rows[0] = [np.maximum(top, r[0]), min(low, r[1]), max(high, r[2]), min(x, r[3]), max(y, r[4])]
+            elif held:
+                keys, rows = [open_key, *keys], [held, *rows]
+            open_key, held = keys[-1], rows[-1]
+            yield as_batch(keys[:-1], rows[:-1])
+        if held:
+            yield as_batch([open_key], [held])
+
+    def as_batch(keys, rows):
+        columns = [pa.array([k[c] for k in keys], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+        columns += [pa.array([r[0].tobytes() for r in rows], pa.binary())] + [pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)]
+        return pa.RecordBatch.from_arrays(columns, ["token", "tile", "class", "top", "low", "high", "x", "y"])
+
+    rows = tiled.select("token", "tile", "class", "component", "n", "point")
+    return rows.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(run, "token bigint, tile bigint, class int, top binary, low bigint, high bigint, x bigint, y bigint")
+
+
+def meeting(tiles: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, tile, tile2): the tiles of a block (tile <= tile2) whose boxes can hold a pair of different components."""
+    u, v = tiles.alias("u"), tiles.alias("v")
+    near = (F.col("u.token") == F.col("v.token")) & (F.abs(F.col("u.class") - F.col("v.class")) <= 1) & (F.col("u.tile") <= F.col("v.tile"))
+    several = (F.least("u.x", "v.x") < F.greatest("u.y", "v.y")) & (100 * F.least("u.high", "v.high") >= percent * F.greatest("u.low", "v.low"))
+    both = u.join(v, near & several).select("u.token", "u.tile", F.col("v.tile").alias("tile2"), "u.low", F.col("v.low").alias("low2"), "u.top", F.col("v.top").alias("top2"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            top, top2 = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, GROUPS) for k in (5, 6))
+            low, low2 = (batch.column(k).to_numpy() for k in (3, 4))
+            keep = pa.array(bound(top, top2) >= needed(low, low2, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(3)], ["token", "tile", "tile2"])
+
+    return both.mapInArrow(run, "token bigint, tile bigint, tile2 bigint")
+
+
+def large_blocks(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows (token, pair, key, component, n, point): the members of large blocks, once for each pair of tiles that has to be searched.
+
+    Sets of a pair differ in size by the threshold at most, so a tile holds sets of one class of sizes and meets those of
+    that class and its neighbours; within a class sets of equal min-hash are in the same tile, unless it would be too large.
+    """
+    size_class = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    rows = rows.withColumn("class", size_class)
+    counts = rows.groupBy("token", "class").agg(F.count("*").alias("m_class"))
+    rows = rows.join(counts, ["token", "class"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("star"), F.ceil(F.col("m_class") / TILE)).cast("int")).drop("m_class", "star")
+    parts = rows.groupBy("token", "class", "part").agg(F.count("*").alias("m_part"))
+    rows = rows.join(parts, ["token", "class", "part"])
+    slot = F.pmod(F.xxhash64("key"), F.ceil(F.col("m_part") / TILE)).cast("int")
+    tiled = scratch.store(rows.select("token", F.xxhash64("class", "part", slot).alias("tile"), "class", "key", "component", "n", "point"))
+    pairs = scratch.store(meeting(scratch.store(boxes(tiled)), percent))
+    members = tiled.select("token", "tile", "key", "component", "n", "point")
+    own = members.join(pairs, ["token", "tile"])
+    others = members.withColumnRenamed("tile", "tile2").join(pairs.where("tile <> tile2"), ["token", "tile2"])
+    columns = ["token", F.xxhash64("tile", "tile2").alias("pair"), "key", "component", "n", "point"]
+    return own.select(columns).unionByName(others.select(columns))
+
+
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that some block's R-trees let through.
 
     Rows of one (block, tile pair) are sorted together and searched as they stream by; no more than two tiles of a block
@@ -278,14 +347,14 @@ def _tile_pairs(members: DataFrame, percent: int) -> DataFrame:
         rows = list({r[0]: r for r in rows}.values())
         if len(rows) < 2:
             return
-        ids = np.array([r[0] for r in rows])
+        keys = np.array([r[0] for r in rows])
         comp = np.array([r[1] for r in rows])
         if (comp == comp[0]).all():
             return
         sizes = np.array([r[2] for r in rows])
         points = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, GROUPS)
         for x, y in RTree(points, sizes, comp).pairs(percent):
-            yield from zip(np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist())
+            yield from zip(np.minimum(keys[x], keys[y]).tolist(), np.maximum(keys[x], keys[y]).tolist())
 
     def run(batches):
         key, held, out = None, [], []
@@ -314,45 +383,59 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
     """For every row: id column, n_shingles, component_id (the least id that its links reach, itself included).
 
     Documents link when 100 * |common| >= percent * |union| of their sets. Null texts, empty ones and ones without words
-    have an empty set and link with nothing. Repeated rows are one class. Rows of null id are left out. Equal ids with
-    different texts count as linked.
+    have an empty set and link with nothing. Repeated rows are one class. Equal ids with different texts count as linked.
+    A row of null id is a class of its own: it links with nothing and its component_id is null. Ids of any type that has an
+    order will do. Very long texts are whole sets like others; other columns are not read; an empty table gives an empty result.
     """
-    rows = small_batches(_schema_of(docs, id_col, text_col).where("id is not null"))
-    table = points_table(rows, token_counts(rows, n), percent, n)
-    # One row stands for each set: that of least key. Only repeated sets are stored and joined; as the stored table is a
-    # side of its own, the join can split the rows of a set that very many documents have.
-    classes = stored(table.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "rep", "first"))
-    members = table.where("n > 0").select("key", "id", "sig", "digest").join(classes, "digest", "left")
-    members = stored(members.select("key", "id", "sig", F.coalesce("rep", "id").alias("rep"), F.coalesce("first", "key").alias("first"), F.col("first").isNotNull().alias("again")))
-    sets = members.where("key = first").select("key", "id", "sig", "again")
-    # Stars: each set against the first of its min-hash blocks.
-    heads = stored(table.where("n > 0").select("key", F.explode("stars").alias("star")).join(sets.select("key"), "key", "left_semi").distinct())
-    first = heads.groupBy("star").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("star", "b")
-    pairs = heads.join(first, "star").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
-    # Stored, so that a join can split the pairs of a star's head, however many there are.
-    points = stored(table.where("n > 0").select("key", "n", "point").join(sets.select("key"), "key", "left_semi"))
-    pairs = pairs.join(points.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
-    pairs = pairs.join(points.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
-    star_links = verify(stored(_bounded(pairs, percent)), sets, rows, percent, n)
-    linked = components(star_links).withColumnRenamed("id", "key")
-    # Blocks by prefix token; those of one component only are done.
-    known = sets.select("key").join(linked, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
-    held = stored(table.where("n > 0").select("key", "tokens").join(known, "key"))
-    entries = held.select("key", "component", F.explode("tokens").alias("token"))
-    blocks = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("token", "m")
-    open_rows = entries.join(blocks, "token")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("key"), tiles).cast("int")
-    # A member of tile t meets every tile u: the pair is named by its lower and higher tile.
-    spread = F.transform(F.sequence(F.lit(0), tiles - 1), lambda u: F.least(own, u).cast("long") * tiles + F.greatest(own, u))
-    open_rows = open_rows.select("key", "component", "token", F.explode(spread).alias("pair"))
-    open_rows = open_rows.join(points, "key")
-    candidates = stored(_tile_pairs(open_rows, percent))
-    block_links = verify(candidates, sets, rows, percent, n)
-    # Links of sets are links of the ids that have them, so all sets of an id hang together.
-    links = star_links.unionByName(block_links).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    links = links.unionByName(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    final = components(links)
-    sized = table.select("id", F.col("n").alias("n_shingles"))
-    out = sized.join(final, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return classes(docs, percent, n, id_col, text_col).drop("first", "sig")
+
+
+def classes(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As join, with ``first``, a number that rows of equal sets share (null for empty sets and null ids), and ``sig``, the
+    xxhash64 of the text. A stored table."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        table = points_table(rows, token_counts(rows, n), percent, n, scratch)
+        # One row stands for each set: that of least key. Only repeated sets are stored and joined; as the stored table is a
+        # side of its own, the join can split the rows of a set that very many documents have.
+        told = table.where("n > 0 and id is not null")
+        repeated = scratch.store(told.groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "rep", "first"))
+        members = told.select("key", "id", "digest").join(repeated, "digest", "left")
+        members = scratch.store(members.select("key", "id", F.coalesce("rep", "id").alias("rep"), F.coalesce("first", "key").alias("first")))
+        sets = scratch.store(table.select("key", "n", "point", "stars", "tokens").join(members.where("key = first").select("key"), "key", "left_semi"))
+        # Stars: each set against the first of its min-hash blocks.
+        heads = sets.select("key", F.explode("stars").alias("star")).distinct()
+        first = heads.groupBy("star").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("star", "b")
+        pairs = heads.join(first, "star").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+        # The points are a stored side of their own, so that a join can split the pairs of a star's head, however many there are.
+        points = sets.select("key", "n", "point")
+        pairs = pairs.join(points.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
+        pairs = pairs.join(points.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
+        star_links = verify(scratch.store(_bounded(pairs, percent)), table, percent, n, scratch)
+        linked = components(star_links, scratch=scratch).withColumnRenamed("id", "key")
+        # Blocks by prefix token; those of one component only are done.
+        held = scratch.store(sets.select("key", "tokens").join(linked, "key", "left").select("key", F.coalesce("component", "key").alias("component"), "tokens"))
+        entries = held.select("key", "component", F.explode("tokens").alias("token"))
+        blocks = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("token", "m")
+        entries = scratch.store(entries.join(blocks, "token"))
+        usual = entries.where(F.col("m") <= TILE).select("token", F.lit(0).cast("bigint").alias("pair"), "key", "component").join(points, "key")
+        many = entries.where(F.col("m") > TILE).select("token", "key", "component").join(sets.select("key", "n", "point", F.get("stars", F.lit(0)).alias("star")), "key")
+        columns = ["token", "pair", "key", "component", "n", "point"]
+        blocked = usual.select(columns)
+        if not many.isEmpty():
+            blocked = blocked.unionByName(large_blocks(many, percent, scratch).select(columns))
+        candidates = scratch.store(_block_pairs(blocked, percent))
+        block_links = verify(candidates, table, percent, n, scratch)
+        # All sets of an id hang together.
+        several = members.groupBy("id").agg(F.min("first").alias("b"), F.max("first").alias("last")).where("b < last").select("id", "b")
+        same_id = members.join(several, "id").where("first <> b").select(F.col("first").alias("a"), "b").distinct()
+        final = components(star_links.unionByName(block_links).unionByName(same_id), scratch=scratch)
+        # The least id of each component, for the sets that are linked; the others have that of their own class.
+        reps = members.where("key = first").select(F.col("first").alias("id"), "rep")
+        labelled = final.join(reps, "id")
+        least = labelled.groupBy("component").agg(F.min("rep").alias("label"))
+        labels = scratch.store(labelled.join(least, "component").select(F.col("id").alias("first"), "label"))
+        known = members.join(labels, "first", "left").select("key", "first", F.coalesce("label", "rep").alias("component_id"))
+        out = table.select("key", "id", "sig", F.col("n").alias("n_shingles")).join(known, "key", "left")
+        component = F.coalesce("component_id", "id")
+        return Scratch(docs.sparkSession).store(out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), "first", "sig"), keep=True)
