@@ -1,8 +1,13 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed words of a text. The factors let two terms
-that are harmless alone count together. Terms that say little about the label in the training sample are screened out, so
-that long texts do not add up noise. Training is plain Adam in numpy on a bounded sample of labelled rows.
+that are harmless alone count together. Terms that say little about the label in the training sample, alone or in a pair,
+are screened out, so that long texts do not add up noise. Training is plain Adam in numpy on a bounded sample of labelled
+rows.
+
+Defined results: null, empty and wordless texts have the score of the bias; very long texts are whole sets of terms; equal
+texts have equal scores; of an id that repeats among the labels the largest label counts, of one that repeats among the
+documents the text of least hash is learned from; other columns are not read; without labelled rows every score is low.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.shared import small_batches
-from parcelyard.llm.text import U64, as_bytes, chunks, lower_ascii, mix, span_hashes, word_table, words
+from parcelyard.llm.shared import Scratch
+from parcelyard.llm.text import U64, as_bytes, chunks, lower_ascii, mix, slices, span_hashes, word_table, words
 
 #: Base buckets; TIMES: a term stands for "at least so often in the text", so a bucket is a base and a place in TIMES.
 BASE_BITS = 19
@@ -28,6 +33,9 @@ BEGINNINGS = (4, 5, 6, 7)
 TRAIN_ROWS = 20_000
 #: Terms kept after screening, at most, and the least number of training documents a kept term is in.
 TERMS, LEAST_DOCUMENTS = 4096, 4
+#: Most frequent terms whose pairs are tried, the largest share of documents that such a term is in, the least number of
+#: documents of a case that counts, and by how much the statistic of a pair's four cases must exceed those of its terms.
+PAIRED, PAIRED_SHARE, LEAST_CASES, PAIR_GAIN = 1024, 0.7, 16, 40
 FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 30, 256, 0.03, 2e-4
 #: Words: everything but ASCII characters that are neither digits nor letters.
 _WORDS = word_table([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -73,68 +81,119 @@ def hashed_terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np
     """
     data, offsets = as_bytes(column)
     data = lower_ascii(data)
-    found = [np.empty(0, np.int64)]
+    out_rows, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, j in chunks(offsets):
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, row = words(part, off, _WORDS)
         if not len(starts):
             continue
-        size = ends - starts
+        size, found = ends - starts, []
         for length in (0, *BEGINNINGS):
             at = slice(None) if not length else size > length
             names = span_hashes(part, starts[at], ends[at] if not length else starts[at] + length)
             base = (mix(names + U64(length)) >> U64(64 - BASE_BITS)).astype(np.int64)
             keys = (row[at] + i) * np.int64(BASES) + base
             found.append(keys if wanted is None else keys[wanted[base]])
-    keys, counts = np.unique(np.concatenate(found), return_counts=True)
-    rows, base = np.divmod(keys, BASES)
-    out_rows, out = [], []
-    for level, least in enumerate(TIMES):
-        enough = counts >= least
-        out_rows.append(rows[enough])
-        out.append(base[enough] * len(TIMES) + level)
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        rows, base = np.divmod(keys, BASES)
+        for level, least in enumerate(TIMES):
+            enough = counts >= least
+            out_rows.append(rows[enough])
+            out.append(base[enough] * len(TIMES) + level)
     return np.concatenate(out_rows), np.concatenate(out)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Machine:
-    """Fit on at most ``most`` labelled rows, chosen by the hash of their ids; repeated labels of an id count as their largest.
+    """Fit on at most ``most`` labelled documents, chosen by the hash of their ids.
 
-    The chosen ids (bounded by ``most``) are broadcast, so the texts are not shuffled. Document counts of the terms are
+    The chosen ids (bounded by ``most``) are broadcast and one text of each is stored. Document counts of the terms are
     summed on the executors for screening; then only the screened terms of the chosen texts come to the driver.
     """
-    truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = truth.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    sample = docs.join(F.broadcast(chosen), id_col).select("_label", text_col)
-
-    def tally(batches):
-        for batch in batches:
-            rows, buckets = hashed_terms(batch.column(1))
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            all_docs, toxic = np.bincount(buckets, minlength=BUCKETS), np.bincount(buckets, label[rows], BUCKETS)
-            at = np.flatnonzero(all_docs)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(all_docs[at], pa.int64()), pa.array(toxic[at].astype(np.int64))], ["bucket", "n", "toxic"])
-
-    sums = small_batches(sample).mapInArrow(tally, "bucket int, n bigint, toxic bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCUMENTS)
-    size = chosen.agg(F.count("*").alias("n"), F.sum("_label").alias("toxic")).first()
-    stats = sums.toPandas().sort_values("bucket")
-    terms = screen(stats["bucket"].to_numpy(np.int64), stats["n"].to_numpy(float), stats["toxic"].to_numpy(float), size.n, float(size.toxic or 0))
-    wanted = Machine(terms, 0.0, terms, terms).wanted()
-
-    def run(batches):
-        for batch in batches:
-            rows, buckets = hashed_terms(batch.column(1), wanted)
-            place = np.minimum(np.searchsorted(terms, buckets), max(0, len(terms) - 1))
-            known = terms[place] == buckets if len(terms) else np.zeros(len(buckets), bool)
-            rows, place = rows[known], place[known]
-            by = np.lexsort((place, rows))
-            cuts = np.searchsorted(rows[by], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[by].astype(np.int32)))], ["label", "terms"])
-
-    table = sample.mapInArrow(run, "label int, terms array<int>").toPandas()
+    truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    chosen = truth.orderBy(F.xxhash64("id"), "id").limit(most)
+    with Scratch(docs.sparkSession) as scratch:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(scratch.store(chosen)), "id")
+        first = texts.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+        sample = scratch.store(first.select("label", "t.text"))
+
+        def tally(batches):
+            for batch in slices(batches, 1):
+                rows, buckets = hashed_terms(batch.column(1))
+                label = batch.column(0).to_numpy(zero_copy_only=False)
+                all_docs, toxic = np.bincount(buckets, minlength=BUCKETS), np.bincount(buckets, label[rows], BUCKETS)
+                at = np.flatnonzero(all_docs)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(all_docs[at], pa.int64()), pa.array(toxic[at].astype(np.int64))], ["bucket", "n", "toxic"])
+
+        sums = sample.mapInArrow(tally, "bucket int, n bigint, toxic bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCUMENTS)
+        size = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
+        stats = sums.toPandas().sort_values("bucket")
+        buckets, with_term = stats["bucket"].to_numpy(np.int64), stats["n"].to_numpy(float)
+        alone = screen(buckets, with_term, stats["toxic"].to_numpy(float), size.n, float(size.toxic or 0))
+        paired = frequent(buckets, with_term, size.n)
+        terms = np.union1d(alone, paired)
+        wanted = Machine(terms, 0.0, terms, terms).wanted()
+
+        def run(batches):
+            for batch in slices(batches, 1):
+                rows, buckets = hashed_terms(batch.column(1), wanted)
+                place = np.minimum(np.searchsorted(terms, buckets), max(0, len(terms) - 1))
+                known = terms[place] == buckets if len(terms) else np.zeros(len(buckets), bool)
+                rows, place = rows[known], place[known]
+                by = np.lexsort((place, rows))
+                cuts = np.searchsorted(rows[by], np.arange(batch.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[by].astype(np.int32)))], ["label", "terms"])
+
+        table = sample.mapInArrow(run, "label int, terms array<int>").toPandas()
     y = table["label"].to_numpy(float)
     lists = [np.asarray(x, np.int64) for x in table["terms"]]
     rows = np.repeat(np.arange(len(y)), [len(x) for x in lists]) if len(y) else np.empty(0, np.int64)
-    return fit(y, rows, np.concatenate([np.empty(0, np.int64), *lists]), terms)
+    cols = np.concatenate([np.empty(0, np.int64), *lists])
+    # Terms that tell nothing alone stay only if a pair of theirs does.
+    kept = np.isin(terms, alone) | np.isin(terms, terms[telling_pairs(y, rows, cols, np.flatnonzero(np.isin(terms, paired)))])
+    new_place = np.cumsum(kept) - 1
+    stays = kept[cols] if len(cols) else np.empty(0, bool)
+    return fit(y, rows[stays], new_place[cols[stays]], terms[kept])
+
+
+def frequent(buckets: np.ndarray, with_term: np.ndarray, n: int) -> np.ndarray:
+    """The PAIRED most frequent terms (of at most PAIRED_SHARE of the n documents) whose pairs are tried: bounded, so all pairs can be."""
+    usual = (with_term <= PAIRED_SHARE * n) & (buckets % len(TIMES) == 0)
+    best = np.lexsort((buckets[usual], -with_term[usual]))[:PAIRED]
+    return np.sort(buckets[usual][best])
+
+
+def telling_pairs(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """Places of the tried terms that are in a pair whose joint presence says more about the label than both terms alone.
+
+    The chi-squared statistic of the four cases (both, one, the other, none) against the label, less those of the two terms.
+    """
+    n, positive = len(y), float(y.sum())
+    if not positive or positive >= n or not len(tried):
+        return np.empty(0, np.int64)
+    place = np.full(int(cols.max(initial=0)) + 1 if len(cols) else 1, -1)
+    place[tried[tried < len(place)]] = np.flatnonzero(tried < len(place))
+    at = place[cols]
+    m, share = len(tried), positive / n
+    both, both_toxic = np.zeros((m, m)), np.zeros((m, m))
+    order = np.argsort(rows, kind="stable")
+    rows, at = rows[order][at[order] >= 0], at[order][at[order] >= 0]
+    for i in range(0, n, 2048):  # in blocks of documents, so that the dense table stays small
+        a, b = np.searchsorted(rows, (i, i + 2048))
+        x = np.zeros((min(2048, n - i), m), np.float32)
+        x[rows[a:b] - i, at[a:b]] = 1
+        both += x.T @ x
+        both_toxic += x.T @ (x * y[i : i + 2048, None].astype(np.float32))
+    alone, alone_toxic = np.diag(both), np.diag(both_toxic)
+
+    def gain(count, toxic):
+        return np.where(count < LEAST_CASES, 0, (toxic - count * share) ** 2 / np.maximum(count * share * (1 - share), 1e-9))
+
+    single = gain(alone, alone_toxic) + gain(n - alone, positive - alone_toxic)
+    one, one_toxic = alone[:, None] - both, alone_toxic[:, None] - both_toxic
+    none, none_toxic = n - both - one - one.T, positive - both_toxic - one_toxic - one_toxic.T
+    joint = gain(both, both_toxic) + gain(one, one_toxic) + gain(one.T, one_toxic.T) + gain(none, none_toxic) - single[:, None] - single[None]
+    np.fill_diagonal(joint, 0)
+    return tried[(joint > PAIR_GAIN).any(0)]
 
 
 def screen(buckets: np.ndarray, with_term: np.ndarray, toxic_with: np.ndarray, n: int, positive: float) -> np.ndarray:
@@ -205,7 +264,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     at = rows.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, at):
             pairs = hashed_terms(batch.column(at), wanted.value)
             found = pa.array(sent.value.scores(*pairs, batch.num_rows))
             if keep:
@@ -214,4 +273,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), found], [id_col, score_col])
 
     kept = rows.dtypes if keep else [(id_col, dict(rows.dtypes)[id_col])]
-    return small_batches(rows).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + f", `{score_col}` double")
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + f", `{score_col}` double")
