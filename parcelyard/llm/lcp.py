@@ -7,7 +7,9 @@ interior phrases wherever they stand. A fingerprint is the bottom-k sketch of a
 the second occurrence of a name counts as another name, so repetition is compared too.
 
 Defined results: null counts as the empty text, whose fingerprint is the empty string; two empty fingerprints are alike
-with 1, an empty and another one with 0. Equal texts have equal fingerprints. Repeated ids are ordered by text.
+with 1, an empty and another one with 0. Equal texts have equal fingerprints. Ids are whole numbers; null ids come first and
+repeated ids are ordered by a hash of their text. Very long texts are parsed whole. Other columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.shared import small_batches
-from parcelyard.llm.text import CHUNK, U64, as_bytes, chunks, mix, span_hashes
+from parcelyard.llm.text import CHUNK, U64, as_bytes, chunks, mix, slices, span_hashes
 
 #: Names kept of a text, and the levels whose names count (a phrase of level 2 has about 8 bytes, one of level 3 about 25).
 SKETCH = 64
 LEVELS = (2, 3)
 #: Rows between two neighbouring documents' range boundaries, and the largest number of ranges.
-RANGE_ROWS, MAX_RANGES = 1000, 20_000
+RANGE_ROWS, MAX_RANGES = 1000, 100_000
 
 
 def _coin(now: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -118,52 +119,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprint of every row's text: id column, fingerprint (hex). One pass, no shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = sketches(*as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hex(x) for x in found], pa.string())], [id_col, "fingerprint"])
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (range, place, id, text): each range holds consecutive ids in order and, last, a copy of the row that follows.
 
     Range boundaries are approximate quantiles of the ids (at most MAX_RANGES, a bounded array on the driver); the texts
-    are shuffled once, by range. No window spans the table. Rows of null id belong to the first range, as the least ids.
+    are shuffled once, by range. No window spans the table. The rows of an id that is a boundary are dealt among the ranges
+    that it bounds by their text's hash, so an id with very many rows takes several ranges.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     n = rows.count()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
     cuts = []
     if ranges > 1:
         marks = [k / ranges for k in range(1, ranges)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("id", marks, 10 * ranges).alias("q")).first().q or []))
+        cuts = sorted(rows.agg(F.percentile_approx("id", marks, max(10_000, 4 * ranges)).alias("q")).first().q or [])
     spark = docs.sparkSession
     edges = spark.sparkContext.broadcast(np.array(cuts, np.int64))
 
     def place(batches):
         for batch in batches:
-            ids = batch.column(0)
-            at = np.searchsorted(edges.value, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids] + [batch.column(k) for k in range(1, batch.num_columns)], ["range", *batch.schema.names])
-
-    ids = rows.select("id").mapInArrow(place, "range bigint, id bigint")
-    firsts = {r.range: r.id for r in ids.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("m")).select("range", "m.id").collect()}
+            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(edges.value, ids, side="left"), np.searchsorted(edges.value, ids, side="right")
+            share = batch.column(1).to_numpy() / 2.0**64 + 0.5
+            at = np.minimum(low + (share * (high - low + 1)).astype(np.int64), high)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *batch.columns], ["range", *batch.schema.names])
+
+    kinds = "range bigint, id bigint, h bigint"
+    found = rows.select("id", "h").mapInArrow(place, kinds)
+    firsts = {r.range: (r.id, r.h) for r in found.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "h")).alias("m")).select("range", "m.id", "m.h").collect()}
     order = sorted(firsts)
-    # The first id of each range also goes, as a copy, to the range before; that of the first range to the last one.
-    back = spark.sparkContext.broadcast({(at, firsts[at]): order[k - 1] for k, at in enumerate(order)})
+    # The first row of each range also goes, as a copy, to the range before; that of the first range to the last one.
+    back = spark.sparkContext.broadcast({(at, *firsts[at]): order[k - 1] for k, at in enumerate(order)})
 
     def copy(batches):
-        for batch in place(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(1), batch.column(2)], ["range", "place", "id", "text"])
-            at, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            hits = [k for k, pair in enumerate(zip(at, ids)) if pair in back.value]
+        for batch in place(slices(batches, 2)):
+            names = ["range", "place", "id", "h", "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(batch.num_rows, np.int32)), *batch.columns[1:]], names)
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            hits = [k for k, key in enumerate(keys) if key in back.value]
             if hits:
-                to = pa.array([back.value[at[k], ids[k]] for k in hits], pa.int64())
-                yield pa.RecordBatch.from_arrays([to, pa.array([1] * len(hits), pa.int32()), batch.column(1).take(pa.array(hits)), batch.column(2).take(pa.array(hits))], ["range", "place", "id", "text"])
+                to = pa.array([back.value[keys[k]] for k in hits], pa.int64())
+                yield pa.RecordBatch.from_arrays([to, pa.array([1] * len(hits), pa.int32()), *(batch.column(k).take(pa.array(hits)) for k in (1, 2, 3))], names)
 
-    dealt = rows.mapInArrow(copy, "range bigint, place int, id bigint, text string")
-    return dealt.repartition("range").sortWithinPartitions("range", "place", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = rows.mapInArrow(copy, "range bigint, place int, id bigint, h bigint, text string")
+    return dealt.repartition("range").sortWithinPartitions("range", "place", F.col("id").asc_nulls_first(), "h", "text").drop("h")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,9 +201,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         pending, rows, size = None, [], 0  # pending: (range, place, id, text) of the row before
-        for batch in batches:
+        for batch in slices(batches, 3):
             for at, place, key, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                text = text or ""
                 if pending and pending[1] == 0 and pending[0] == at:
                     rows.append((pending[2], pending[3], text))
                     size += len(pending[3])
@@ -208,4 +214,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield finish(rows)
 
     schema = f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return small_batches(with_next(docs, id_col, text_col)).mapInArrow(run, schema)
+    out = with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return out.withColumn(id_col, F.col(id_col).cast(dict(docs.dtypes)[id_col]))
