@@ -9,7 +9,8 @@ running sum. Turns are numbered and summed in blocks of turn numbers and the blo
 no window holds a long conversation whole; rendering goes in segments of SEGMENT turns.
 
 Defined results: rows with null conversation or turn are left out; a null role or text counts as an empty one; turns of
-equal number are ordered by role and text. An empty table gives an empty result.
+equal number are ordered by role and text, and rows that repeat are turns of their own. Long texts are rendered whole; other
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 The regression is trained on the small labelled table below (seeded order, plain gradient descent in numpy). Rules are
 native expressions. Null URLs and URLs without ``://`` have an empty host and path; no rule fits those, and the
-regression judges the empty text like any other. Repeated rows are judged one by one; other columns are left out.
+regression judges the empty text like any other. Repeated rows are judged one by one, long URLs whole; other columns are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
