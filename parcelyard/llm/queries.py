@@ -70,7 +70,7 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,14 +87,28 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1_secrets that SQL can say: how many spans of the fixed patterns each document has."""
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_urls that SQL can say: hosts, paths and rules, and the verdict where a rule fits."""
+    judged = op8_urls(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_bpe, op4_jaccard, op5_toxicity, op6_tokens, op7_decontam, op8_urls, op9_language, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_secrets, op2_chat, op3_bpe, op4_jaccard, op5_toxicity, op6_tokens, op7_decontam, op8_urls, op9_language, op10_fingerprints, secrets_base, url_rules)}
 
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": """
@@ -128,8 +142,39 @@ met AS (SELECT doc_id, s, spots.size, item_id FROM spots JOIN windows ON spots.s
 hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS place FROM met) GROUP BY 1),
 items AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY 1),
+vocabulary AS (SELECT DISTINCT unnest(w) AS term FROM b),
+counts AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) JOIN vocabulary USING (term) GROUP BY 1),
+rare AS (
+  SELECT item_id, w, term, count(*) OVER (PARTITION BY item_id, w) AS need
+  FROM (SELECT item_id, w, term FROM (SELECT DISTINCT item_id, w, unnest(w) AS term FROM b) JOIN counts USING (term)
+        QUALIFY row_number() OVER (PARTITION BY item_id, w ORDER BY n, term) <= 3)),
+found AS (
+  SELECT doc_id, item_id, r.w AS words, need, term, spot
+  FROM (SELECT doc_id, unnest(w) AS term, unnest(generate_series(0, len(w) - 1)) AS spot FROM d WHERE len(w) > 0) p JOIN rare r USING (term)),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near
+  FROM (SELECT x.doc_id, x.item_id, x.words, x.spot FROM found x JOIN found y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.words = y.words AND y.spot BETWEEN x.spot - 20 AND x.spot
+        GROUP BY ALL HAVING count(DISTINCT y.term) = any_value(x.need)) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+       coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id LEFT JOIN near ON d.doc_id = near.doc_id""",
+        "secrets_base": rf"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda v: length(v) >= 6)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS BIGINT) AS n_access,
+       CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "url_rules": rf"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), {_LOWER}) AS host,
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS rule_verdict FROM ruled""",
     }
