@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of a batch of texts that a Python worker is sent at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Rows of a table up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -61,19 +59,3 @@ def delete(spark: SparkSession, folder: str) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame, marked for broadcast if it has been counted and is within the bound; beyond it Spark joins as it sees fit."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written once as Parquet in the shared folder, and read again: later uses don't compute it anew."""
-    path = f"{shared_folder(df.sparkSession)}/parcelyard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """The frame, its session's Arrow batches held to BATCH_ROWS and BATCH_BYTES; smaller ones of the session's own stay."""
-    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
