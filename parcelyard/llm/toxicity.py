@@ -12,6 +12,7 @@ documents the text of least hash is learned from; other columns are not read; wi
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,8 +107,8 @@ def hashed_terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> Machine:
     """Fit on at most ``most`` labelled documents, chosen by the hash of their ids.
 
-    The chosen ids (bounded by ``most``) are broadcast and one text of each is stored. Document counts of the terms are
-    summed on the executors for screening; then only the screened terms of the chosen texts come to the driver.
+    The chosen ids (bounded by ``most``) are broadcast and one text of each is stored. Document counts of the terms and of
+    their pairs are summed on the executors for screening; only the screened terms of the chosen texts come to the driver.
     """
     truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = truth.orderBy(F.xxhash64("id"), "id").limit(most)
@@ -129,30 +130,63 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         stats = sums.toPandas().sort_values("bucket")
         buckets, with_term = stats["bucket"].to_numpy(np.int64), stats["n"].to_numpy(float)
         alone = screen(buckets, with_term, stats["toxic"].to_numpy(float), size.n, float(size.toxic or 0))
-        paired = frequent(buckets, with_term, size.n)
-        terms = np.union1d(alone, paired)
+        tried = frequent(buckets, with_term, size.n)
+        # Terms that tell nothing alone stay only if a pair of theirs does.
+        terms = np.union1d(alone, tried[telling(*pair_counts(sample, tried), size.n, float(size.toxic or 0))])
         wanted = Machine(terms, 0.0, terms, terms).wanted()
 
         def run(batches):
             for batch in slices(batches, 1):
-                rows, buckets = hashed_terms(batch.column(1), wanted)
-                place = np.minimum(np.searchsorted(terms, buckets), max(0, len(terms) - 1))
-                known = terms[place] == buckets if len(terms) else np.zeros(len(buckets), bool)
-                rows, place = rows[known], place[known]
-                by = np.lexsort((place, rows))
-                cuts = np.searchsorted(rows[by], np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[by].astype(np.int32)))], ["label", "terms"])
-
-        table = sample.mapInArrow(run, "label int, terms array<int>").toPandas()
-    y = table["label"].to_numpy(float)
-    lists = [np.asarray(x, np.int64) for x in table["terms"]]
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in lists]) if len(y) else np.empty(0, np.int64)
-    cols = np.concatenate([np.empty(0, np.int64), *lists])
-    # Terms that tell nothing alone stay only if a pair of theirs does.
-    kept = np.isin(terms, alone) | np.isin(terms, terms[telling_pairs(y, rows, cols, np.flatnonzero(np.isin(terms, paired)))])
-    new_place = np.cumsum(kept) - 1
-    stays = kept[cols] if len(cols) else np.empty(0, bool)
-    return fit(y, rows[stays], new_place[cols[stays]], terms[kept])
+                rows, place = _placed(batch.column(1), terms, wanted)
+                cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32)))], ["label", "terms"])
+
+        table = sample.mapInArrow(run, "label int, terms array<int>").toArrow()
+    y, lists = table.column("label").to_numpy().astype(float), table.column("terms").combine_chunks()
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return fit(y, rows, lists.flatten().to_numpy(), terms)
+
+
+def _placed(column: pa.Array, terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, place in terms) pairs of a batch's terms, by row."""
+    rows, buckets = hashed_terms(column, wanted)
+    place = np.minimum(np.searchsorted(terms, buckets), max(0, len(terms) - 1))
+    known = terms[place] == buckets if len(terms) else np.zeros(len(buckets), bool)
+    rows, place = rows[known], place[known]
+    by = np.lexsort((place, rows))
+    return rows[by], place[by]
+
+
+def pair_counts(sample: DataFrame, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables [tried, tried]: documents of the sample (label, text) that have both terms, and how many of them are labelled.
+
+    Counted in tasks and summed row by row of the table, whose size is fixed.
+    """
+    m = len(tried)
+    wanted = Machine(tried, 0.0, tried, tried).wanted()
+
+    def run(batches):
+        both, toxic = np.zeros((m, m), np.int32), np.zeros((m, m), np.int32)
+        for batch in slices(batches, 1):
+            rows, place = _placed(batch.column(1), tried, wanted)
+            x = np.zeros((batch.num_rows, m), np.float32)
+            x[rows, place] = 1
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float32)
+            both += (x.T @ x).astype(np.int32)
+            toxic += (x.T @ (x * y[:, None])).astype(np.int32)
+        packed = [pa.array([zlib.compress(r.tobytes(), 1) for r in t], pa.binary()) for t in (both, toxic)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(m), pa.int32()), *packed], ["term", "pairs", "toxic"])
+
+    def add(part: pa.Table) -> pa.Table:
+        sums = [pa.array([zlib.compress(sum(np.frombuffer(zlib.decompress(x.as_py()), np.int32) for x in part.column(c)).tobytes(), 1)], pa.binary()) for c in ("pairs", "toxic")]
+        return pa.table([part.column("term").slice(0, 1), *sums], ["term", "pairs", "toxic"])
+
+    both, toxic = np.zeros((m, m), np.int32), np.zeros((m, m), np.int32)
+    if m:
+        kind = "term int, pairs binary, toxic binary"
+        for r in sample.mapInArrow(run, kind).groupBy("term").applyInArrow(add, kind).collect():
+            both[r.term], toxic[r.term] = (np.frombuffer(zlib.decompress(x), np.int32) for x in (r.pairs, r.toxic))
+    return both, toxic
 
 
 def frequent(buckets: np.ndarray, with_term: np.ndarray, n: int) -> np.ndarray:
@@ -162,38 +196,27 @@ def frequent(buckets: np.ndarray, with_term: np.ndarray, n: int) -> np.ndarray:
     return np.sort(buckets[usual][best])
 
 
-def telling_pairs(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, tried: np.ndarray) -> np.ndarray:
-    """Places of the tried terms that are in a pair whose joint presence says more about the label than both terms alone.
+def telling(both: np.ndarray, both_toxic: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Which terms are in a pair whose joint presence says more about the label than both terms alone, by pair_counts.
 
     The chi-squared statistic of the four cases (both, one, the other, none) against the label, less those of the two terms.
     """
-    n, positive = len(y), float(y.sum())
-    if not positive or positive >= n or not len(tried):
-        return np.empty(0, np.int64)
-    place = np.full(int(cols.max(initial=0)) + 1 if len(cols) else 1, -1)
-    place[tried[tried < len(place)]] = np.flatnonzero(tried < len(place))
-    at = place[cols]
-    m, share = len(tried), positive / n
-    both, both_toxic = np.zeros((m, m)), np.zeros((m, m))
-    order = np.argsort(rows, kind="stable")
-    rows, at = rows[order][at[order] >= 0], at[order][at[order] >= 0]
-    for i in range(0, n, 2048):  # in blocks of documents, so that the dense table stays small
-        a, b = np.searchsorted(rows, (i, i + 2048))
-        x = np.zeros((min(2048, n - i), m), np.float32)
-        x[rows[a:b] - i, at[a:b]] = 1
-        both += x.T @ x
-        both_toxic += x.T @ (x * y[i : i + 2048, None].astype(np.float32))
-    alone, alone_toxic = np.diag(both), np.diag(both_toxic)
+    out = np.zeros(len(both), bool)
+    if not positive or positive >= n:
+        return out
+    share, alone, alone_toxic = positive / n, np.diag(both), np.diag(both_toxic)
 
     def gain(count, toxic):
         return np.where(count < LEAST_CASES, 0, (toxic - count * share) ** 2 / np.maximum(count * share * (1 - share), 1e-9))
 
     single = gain(alone, alone_toxic) + gain(n - alone, positive - alone_toxic)
-    one, one_toxic = alone[:, None] - both, alone_toxic[:, None] - both_toxic
-    none, none_toxic = n - both - one - one.T, positive - both_toxic - one_toxic - one_toxic.T
-    joint = gain(both, both_toxic) + gain(one, one_toxic) + gain(one.T, one_toxic.T) + gain(none, none_toxic) - single[:, None] - single[None]
-    np.fill_diagonal(joint, 0)
-    return tried[(joint > PAIR_GAIN).any(0)]
+    for k in range(len(both)):  # one term against all
+        b, bt = both[k], both_toxic[k]
+        one, one_toxic, other, other_toxic = alone[k] - b, alone_toxic[k] - bt, alone - b, alone_toxic - bt
+        joint = gain(b, bt) + gain(one, one_toxic) + gain(other, other_toxic) + gain(n - b - one - other, positive - bt - one_toxic - other_toxic) - single - single[k]
+        joint[k] = 0
+        out[k] = (joint > PAIR_GAIN).any()
+    return out
 
 
 def screen(buckets: np.ndarray, with_term: np.ndarray, toxic_with: np.ndarray, n: int, positive: float) -> np.ndarray:
@@ -209,7 +232,7 @@ def screen(buckets: np.ndarray, with_term: np.ndarray, toxic_with: np.ndarray, n
 
 def fit(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, terms: np.ndarray) -> Machine:
     """Fit the machine to (row, term place) pairs; rows are put in a fixed order, so equal samples give equal machines."""
-    n, positive = len(y), float(y.sum())
+    n, positive, cols = len(y), float(y.sum()), cols.astype(np.int64)
     if not len(terms):
         bias = np.log((positive + 0.5) / (n - positive + 0.5)) if n else -6.0
         return Machine(np.empty(0, np.int64), float(bias), np.empty(0), np.empty((0, FACTORS)))
