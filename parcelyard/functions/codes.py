@@ -43,17 +43,43 @@ def digest_algorithm(number: Column) -> Column:
     return out
 
 
+#: File name endings by which a compression is told, and first bytes (as hex) where no ending tells.
+ENDINGS = {
+    "gz": (".gz", ".gzip", ".gunzip"), "bz2": (".bz2", ".bzip2"), "xz": (".xz",), "zck": (".zck",), "zstd": (".zst",),
+    "none": (".xml", ".tar", ".yaml", ".sqlite", ".txt"),
+}
+MAGIC = {"gz": "1F8B", "zstd": "28B52FFD", "bz2": "425A", "xz": "FD377A585A", "zck": "005A434B31"}
+
+
 def detect_compression(path: Column, head: Column) -> Column:
-    """By suffix, else by the first bytes (as hex)."""
-    out = F.when(head.startswith("1F8B"), "gz").when(head.startswith("425A68"), "bz2").when(head.startswith("FD377A585A"), "xz").when(head.startswith("28B52FFD"), "zstd").otherwise("none")
-    for end, name in ((".zst", "zstd"), (".zck", "zck"), (".xz", "xz"), (".bz2", "bz2"), (".gz", "gz")):
-        out = F.when(path.endswith(end), name).otherwise(out)
+    """By the ending of the name, else by the first five bytes (as hex); files of fewer bytes are plain.
+
+    Where neither tells, a name with several endings is ``unknown``, any other ``none``.
+    """
+    stacked = F.size(F.split(F.substring_index(path, "/", -1), "[.]")) >= 3
+    out = F.when(stacked, "unknown").otherwise("none")
+    for name, start in reversed(MAGIC.items()):
+        out = F.when(head.startswith(start), name).otherwise(out)
+    out = F.when(F.length(head) < 10, "none").otherwise(out)
+    for name, endings in ENDINGS.items():
+        told = F.lit(False)
+        for end in endings:
+            told = told | path.endswith(end)
+        out = F.when(told, name).otherwise(out)
     return out
 
 
 def parse_long(v: Column) -> Column:
-    """Leading integer of a text, 0 where there is none."""
-    return F.coalesce(F.regexp_extract(v, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Leading integer of a text, 0 where there is none; beyond 64 bits the nearest number."""
+    digits = F.regexp_extract(v, r"^\s*([+-]?[0-9]+)", 1)
+    clamped = F.when(digits.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1)).cast("bigint")
+    return F.when(v.isNull() | (digits == ""), F.lit(0).cast("bigint")).otherwise(F.coalesce(digits.try_cast("bigint"), clamped))
+
+
+def number_fault(v: Column) -> Column:
+    """What a scan warns of in a text that should be an integer: ``overflow``, ``garbage`` (nothing of it is a number), or null."""
+    digits = F.regexp_extract(v, r"^\s*([+-]?[0-9]+)", 1)
+    return F.when((digits != "") & digits.try_cast("bigint").isNull(), "overflow").when((v != "") & (parse_long(v) == 0) & ~v.rlike(r"^\s*[+-]?0+$"), "garbage")
 
 
 def seconds(period: Column) -> Column:
@@ -70,8 +96,23 @@ def has_control(c: Column) -> Column:
 
 def latin1_to_utf8(raw: Column) -> Column:
     """Bytes taken as Latin-1 where they are not valid UTF-8; control characters and 0x80-0xBF are left out."""
-    old = F.regexp_replace(F.decode(raw, "ISO-8859-1"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x80-\\xBF]", "")
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(old)
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(_latin1(raw))
+
+
+def database_text(raw: Column) -> Column:
+    """Bytes as tables of the star hold them: valid UTF-8 without control characters as it is, anything else taken as Latin-1."""
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text) & ~has_control(text), text).otherwise(_latin1(raw))
+
+
+def _latin1(raw: Column) -> Column:
+    return F.regexp_replace(F.decode(raw, "ISO-8859-1"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x80-\\xBF]", "")
+
+
+def distro_tag(tag: Column) -> Column:
+    """``cpeid,value`` or just ``value`` as struct<cpeid, value>."""
+    parts = F.split(tag, ",", 2)
+    return F.struct(F.when(F.size(parts) > 1, parts[0]).alias("cpeid"), F.element_at(parts, -1).alias("value"))
 
 
 def unescape_ampersand(v: Column) -> Column:

@@ -55,8 +55,11 @@ def media_base(base: Column, media: Column) -> Column:
 
 
 def replace_prefix(base: Column, search: str, put: str) -> Column:
-    """Base URLs that start with ``search`` get ``put`` instead, and lose slashes at the end."""
-    return F.when(base.startswith(search), F.regexp_replace(F.concat(F.lit(put), F.substring(base, len(search) + 1, 1 << 30)), "/+$", "")).otherwise(base)
+    """Base URLs without slashes at the end (the root stays); those that start with ``search`` get ``put`` instead of it."""
+    bare = F.when(base.rlike("^/+$"), "/").otherwise(F.regexp_replace(base, "/+$", ""))
+    if not search:
+        return bare
+    return F.when(bare.startswith(search), F.concat(F.lit(put), F.substring(bare, len(search) + 1, 1 << 30))).otherwise(bare)
 
 
 def glob_regex(mask: str) -> str:
@@ -73,3 +76,13 @@ def record_name(name: Column, checksum: Column) -> Column:
 
 def strip_compression(name: Column) -> Column:
     return F.regexp_replace(name, "[.](gz|bz2|xz|zck|zst)$", "")
+
+
+def derived_type(name: Column) -> Column:
+    """Record type of a metadata file: its base name up to the first dot."""
+    return F.substring_index(base_name(name), ".", 1)
+
+
+def simple_file_name(href: Column) -> Column:
+    """Whether a manifest's primary file is called by its kind, without a checksum before it."""
+    return base_name(href).startswith("primary")

@@ -50,9 +50,12 @@ def with_nevra(pkgs: DataFrame) -> DataFrame:
 
 
 def nevra_duplicates(pkgs: DataFrame) -> DataFrame:
-    """Groups of equal NEVRA with more than one row: nevra, n, locations (shortest first)."""
-    found = with_nevra(pkgs).groupBy("nevra").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.length("href").alias("l"), F.col("href").alias("h")))).alias("x"))
-    return found.where("n > 1").select("nevra", "n", F.array_join(F.transform("x", lambda s: s["h"]), ",").alias("locations"))
+    """Groups of equal NEVRA with more than one row: nevra, n, locations (shortest first). Counted first, so that only rows of
+    such groups are gathered."""
+    named = with_nevra(pkgs)
+    counts = named.groupBy("nevra").agg(F.count("*").alias("n")).where("n > 1")
+    found = named.select("nevra", "href").join(counts, "nevra").groupBy("nevra", "n").agg(F.sort_array(F.collect_list(F.struct(F.length("href").alias("l"), F.col("href").alias("h")))).alias("x"))
+    return found.select("nevra", "n", F.array_join(F.transform("x", lambda s: s["h"]), ",").alias("locations"))
 
 
 def keep_last_nevra(pkgs: DataFrame) -> DataFrame:

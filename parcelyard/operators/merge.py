@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 
 from parcelyard.functions.version import evr_key, merge_key, nvra, parse_nevr
 from parcelyard.operators.dedup import first_by
+from parcelyard.operators.ordering import changes
 
-#: Architectures that an architecture also takes packages of.
+#: Architectures that an architecture also stands for when lists are expanded ("rmv5tel" is the table's own
+#: spelling), and the second architecture of multilib ones.
 ARCH_FAMILIES = {
-    "i386": ["i386", "i486", "i586", "geode", "i686", "athlon"],
-    "x86_64": ["x86_64", "ia32e", "amd64"],
-    "ppc64": ["ppc64", "ppc64pseries", "ppc64iseries"],
-    "sparc64": ["sparc64", "sparcv9", "sparcv8", "sparc"],
+    "i386": ["i486", "i586", "geode", "i686", "athlon"],
+    "x86_64": ["ia32e", "amd64"],
+    "ppc64": ["ppc64pseries", "ppc64iseries"],
+    "sparc64": ["sparc64v", "sparc64v2"],
+    "sparc": ["sparcv8", "sparcv9", "sparcv9v", "sparcv9v2"],
+    "alpha": ["alphaev4", "alphaev45", "alphaev5", "alphaev56", "alphapca56", "alphaev6", "alphaev67", "alphaev68", "alphaev7"],
+    "armhfp": ["armv7hl", "armv7hnl"],
+    "arm": ["rmv5tel", "armv5tejl", "armv6l", "armv7l"],
+    "sh4": ["sh4a"],
 }
+MULTILIB = {"x86_64": "i386", "ppc64": "ppc", "s390x": "s390"}
 
 
 def union_repos(repos: list[DataFrame]) -> DataFrame:
@@ -24,12 +32,32 @@ def union_repos(repos: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.withColumn("repo_id", F.lit(k)) for k, r in enumerate(repos)])
 
 
-def expand_arch(archs: list[str]) -> list[str]:
-    return sorted({x for a in archs for x in ARCH_FAMILIES.get(a, [a])} | {"noarch"})
+def expand_arch(archs: list[str], expand: bool = False, multilib: bool = False) -> list[str]:
+    """The architectures to let through: those asked for and ``noarch``; on request the families, and multilib partners with theirs."""
+    wanted = {a: expand for a in archs} | {MULTILIB[a]: True for a in archs if multilib and a in MULTILIB}
+    return sorted({x for a, grown in wanted.items() for x in [a, *(ARCH_FAMILIES.get(a, []) if grown else [])]} | {"noarch"})
 
 
-def arch_filter(pkgs: DataFrame, archs: list[str]) -> DataFrame:
-    return pkgs.where(F.col("arch").isin(expand_arch(archs)))
+def arch_filter(pkgs: DataFrame, archs: list[str], expand: bool = False, multilib: bool = False) -> DataFrame:
+    """Packages of the listed architectures; an empty list lets all through."""
+    return pkgs.where(F.col("arch").isin(expand_arch(archs, expand, multilib))) if archs else pkgs
+
+
+def default_base(pkgs: DataFrame, urls: dict[int, str], omit: bool = False, koji: bool = False) -> DataFrame:
+    """Packages with the URL of their repository as location base where they have none.
+
+    The first package of a name takes it for an empty base too, others only for a null one. Nothing is filled in with
+    ``omit``, nor in the first repository with ``koji``. Comes after the filters and before the merge, as those see the rows.
+    """
+    if omit or not urls:
+        return pkgs
+    url = F.create_map(*(x for k, u in urls.items() for x in (F.lit(k), F.lit(u))))[F.col("repo_id")]
+    url = F.when(F.lit(koji) & (F.col("repo_id") == 0), None).otherwise(url)
+    firsts = pkgs.groupBy("name").agg(F.min(F.struct("repo_id", "ord")).alias("_first"))
+    base = F.col("location_base")
+    empty = base.isNull() | ((base == "") & (F.struct("repo_id", "ord") == F.col("_first")))
+    named = pkgs.join(firsts.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name")))
+    return named.withColumn("location_base", F.when(empty, F.coalesce(url, base)).otherwise(base)).drop("_name", "_first")
 
 
 def _evr() -> list[Column]:
@@ -94,10 +122,16 @@ def koji_merge(pkgs: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def substitute_noarch(pkgs: DataFrame, designated: DataFrame, file: Column) -> DataFrame:
-    """noarch rows take pkgid and base of the designated repository's first row of the same file name, if there is one."""
-    other = first_by(designated.withColumn("_file", file), ["_file"], ["ord"]).select("_file", F.col("pkgid").alias("_pkgid"), F.col("repo_id").alias("_repo"))
+    """noarch rows become the designated repository's first row of the same file name, whole, if there is one.
+
+    Only ``ord`` and ``repo_id``, a row's place in the merge, stay its own.
+    """
+    place = ("ord", "repo_id")
+    taken = [c for c in pkgs.columns if c not in place]
+    other = first_by(designated.withColumn("_file", file), ["_file"], ["repo_id", "ord"]).select("_file", F.struct(*taken).alias("_other"))
     joined = pkgs.join(other, (file == F.col("_file")) & (F.col("arch") == "noarch"), "left")
-    return joined.withColumns({"pkgid": F.coalesce("_pkgid", "pkgid"), "repo_id": F.coalesce("_repo", "repo_id")}).drop("_file", "_pkgid", "_repo")
+    use = lambda c: F.when(F.col("_other").isNotNull(), F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c)
+    return joined.select(*(c if c in place else use(c) for c in pkgs.columns))
 
 
 def repo_counts(pkgs: DataFrame, merged: DataFrame) -> DataFrame:
@@ -107,12 +141,11 @@ def repo_counts(pkgs: DataFrame, merged: DataFrame) -> DataFrame:
     return loaded.join(used, "repo_id", "left").select("repo_id", "loaded", F.coalesce("used", F.lit(0)).cast("long").alias("used"))
 
 
-def output_order(pkgs: DataFrame) -> DataFrame:
-    return pkgs.orderBy("name", "href", "location_base")
+def output_order() -> list[Column]:
+    """Order in which a merged repository is written: name, location, base; nulls first."""
+    return [F.col("name"), F.col("href"), F.col("location_base"), F.col("ord")]
 
 
 def source_chunks(pkgs: DataFrame) -> DataFrame:
-    """Chunk of each row in output order of its arch: a new one where the source package changes."""
-    w = Window.partitionBy("arch").orderBy("name", "href", "ord")
-    changed = F.coalesce((~F.col("srpm").eqNullSafe(F.lag("srpm").over(w))).cast("int"), F.lit(1))
-    return pkgs.withColumn("_c", changed).withColumn("chunk", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    """Chunk of each row in output order: a new one where the source package changes, or is not known."""
+    return changes(pkgs, output_order(), "srpm", "chunk")

@@ -97,23 +97,48 @@ def cascade_delete(children: DataFrame, removed: DataFrame) -> DataFrame:
     return children.join(removed.select("pkgkey").distinct(), "pkgkey", "left_anti")
 
 
+def full_version(epoch: Column, version: Column, release: Column) -> Column:
+    """``E:V-R`` as one text; absent parts are left out."""
+    return F.concat(F.coalesce(F.concat(epoch, F.lit(":")), F.lit("")), F.coalesce(version, F.lit("")), F.coalesce(F.concat(F.lit("-"), release), F.lit("")))
+
+
 def clean_requires(deps: DataFrame, files: DataFrame) -> DataFrame:
-    """Requires without ``rpmlib(`` names, own primary files, what the package provides itself, and repeats."""
-    same = ["pkgkey", "name", "flags", "version"]
-    requires = deps.where((F.col("kind") == "requires") & ~F.col("name").startswith("rpmlib("))
-    own = files.where(paths.is_primary(F.col("path"))).select("pkgkey", F.col("path").alias("name"))
-    provides = deps.where(F.col("kind") == "provides").select(*same).distinct().alias("p")
-    left = requires.join(own, ["pkgkey", "name"], "left_anti").alias("r")
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in same]
-    return first_by(left.join(provides, on, "left_anti").select("r.*"), [*same, "pre"], ["pos"])
+    """Requires without ``rpmlib(`` names, own primary files, what the package provides itself, and repeats.
+
+    Provided means the same name, flags and full version. A repeat equals the last kept one of its name in flags, full
+    version and pre; as dropped ones equal it too, that is the one before. The libc requires are for highest_libc alone.
+    """
+    full = deps.withColumns({"_flags": F.coalesce("flags", F.lit("")), "_full": full_version(F.col("epoch"), F.col("version"), F.col("release"))})
+    same = ["pkgkey", "name", "_flags", "_full"]
+    requires = full.where((F.col("kind") == "requires") & ~F.col("name").startswith("rpmlib("))
+    own = files.where(paths.is_primary(F.col("path")) & F.col("path").startswith("/")).select("pkgkey", F.col("path").alias("name"))
+    provides = full.where(F.col("kind") == "provides").select(*same)
+    left = requires.join(own, ["pkgkey", "name"], "left_anti").join(provides, same, "left_anti")
+    now = F.struct("_flags", "_full", "pre")
+    before = F.lag(now).over(Window.partitionBy("pkgkey", "name").orderBy("pos"))
+    repeat = F.coalesce(now == before, F.lit(False)) & ~_is_libc()
+    return left.withColumn("_repeat", repeat).where(~F.col("_repeat")).select(deps.columns)
+
+
+def _is_libc() -> Column:
+    return F.col("name").startswith("libc.so.6")
+
+
+def libc_key(name: Column) -> Column:
+    """Order of libc requires: without parentheses < never closed < empty ones < no digit inside < by the version inside.
+
+    The version runs from the first digit to the first closing parenthesis.
+    """
+    inside = F.regexp_extract(name, "^[^(]*[(]([^)]*)[)]", 1)
+    number = F.regexp_extract(inside, "([0-9].*)$", 1)
+    rank = F.when(~name.contains("("), 0).when(~name.rlike("[(][^)]*[)]"), 1).when(inside == "", 2).when(number == "", 3).otherwise(4)
+    return F.struct(rank.alias("rank"), F.when(rank == 4, ver_key(number)).otherwise("").alias("version"))
 
 
 def highest_libc(deps: DataFrame) -> DataFrame:
-    """Of each package's ``libc.so.6(...)`` requires only the one of highest version; the others stay."""
-    is_libc = F.col("name").startswith("libc.so.6(")
-    key = ver_key(F.regexp_extract("name", "[(][^0-9)]*([0-9][0-9.]*)", 1))
-    best = first_by(deps.where(is_libc).withColumn("_k", key), ["pkgkey"], [F.desc("_k"), "pos"]).drop("_k")
-    return deps.where(~is_libc).unionByName(best)
+    """Of each package's ``libc.so.6`` requires only the one of highest version, the first of equal ones; the others stay."""
+    best = first_by(deps.where(_is_libc()).withColumn("_k", libc_key(F.col("name"))), ["pkgkey"], [F.desc("_k"), "pos"]).drop("_k")
+    return deps.where(~_is_libc() | F.col("name").isNull()).unionByName(best)
 
 
 # --- changelogs ------------------------------------------------------------------------------------------------------
@@ -138,19 +163,42 @@ def unique_dates(logs: DataFrame) -> DataFrame:
 # --- deltas ----------------------------------------------------------------------------------------------------------
 
 
+def _keyed(pkgs: DataFrame) -> DataFrame:
+    return pkgs.select("ord", "repo_id", "name", "arch", evr_key(F.col("epoch"), F.col("version"), F.col("release")).alias("key"))
+
+
 def delta_candidates(targets: DataFrame, old: DataFrame, max_size: int) -> DataFrame:
     """Pairs (target, old) of one name and arch in which the target is newer; both within the size bound."""
-    evr = lambda p: evr_key(*(F.col(f"{p}.{c}") for c in ("epoch", "version", "release")))
-    t, o = targets.where(F.col("size_package") < max_size).alias("t"), old.where(F.col("size_package") <= max_size).alias("o")
+    t, o = _keyed(targets.where(F.col("size_package") < max_size)).alias("t"), _keyed(old.where(F.col("size_package") <= max_size)).alias("o")
     same = (F.col("t.name") == F.col("o.name")) & (F.col("t.arch") == F.col("o.arch"))
-    return t.join(o, same & (evr("t") > evr("o"))).select(F.col("t.ord").alias("target"), F.col("o.ord").alias("old"), F.col("o.repo_id").alias("dir"), evr("o").alias("old_key"))
+    return t.join(o, same & (F.col("t.key") > F.col("o.key"))).select(F.col("t.ord").alias("target"), F.col("o.ord").alias("old"), F.col("o.repo_id").alias("dir"), F.col("o.key").alias("old_key"))
 
 
 def newest_deltas(pairs: DataFrame, n: int) -> DataFrame:
+    """Of each target's pairs in an old directory the n of newest old packages."""
     w = Window.partitionBy("target", "dir").orderBy(F.desc("old_key"), "old")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def delta_topk(targets: DataFrame, old: DataFrame, max_size: int, n: int) -> DataFrame:
+    """newest_deltas of delta_candidates without making all pairs: targets are placed among the old packages of their directory.
+
+    Targets and old packages of one name and arch are sorted by version together; an old package is numbered by how many
+    distinct versions are before it, so a target's n newest older ones are found by an equi join on the last n numbers.
+    """
+    t, o = _keyed(targets.where(F.col("size_package") < max_size)), _keyed(old.where(F.col("size_package") <= max_size))
+    o = o.withColumnRenamed("repo_id", "dir")
+    dirs = o.select("name", "arch", "dir").distinct()
+    both = o.select("name", "arch", "dir", "key", F.col("ord").alias("old"), F.lit(None).cast("bigint").alias("target"))
+    asked = t.join(dirs, ["name", "arch"]).select("name", "arch", "dir", "key", F.lit(None).cast("bigint").alias("old"), F.col("ord").alias("target"))
+    # Old packages of one version come in descending order of ord, so that the last ones are the first to be taken.
+    ordered = Window.partitionBy("name", "arch", "dir").orderBy("key", F.col("target").isNull(), F.desc("old"))
+    placed = both.unionByName(asked).withColumn("seen", F.count("old").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    olds = placed.where("target is null").select("name", "arch", "dir", "seen", "old")
+    wanted = placed.where("old is null and seen > 0").select("name", "arch", "dir", "target", F.posexplode(F.sequence("seen", F.greatest(F.lit(1).cast("bigint"), F.col("seen") - n + 1), F.lit(-1).cast("bigint"))).alias("place", "seen"))
+    return wanted.join(olds, ["name", "arch", "dir", "seen"]).select("target", "old", "dir", (F.col("place") + 1).alias("place"))
+
+
 def group_deltas(pairs: DataFrame) -> DataFrame:
     grouped = pairs.groupBy("target").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("old")).alias("x"))
     return grouped.select("target", "n", F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("olds"))
@@ -174,8 +222,12 @@ def upsert_records(records: DataFrame, new: DataFrame) -> DataFrame:
     return records.join(new.select("type").distinct(), "type", "left_anti").select(records.columns).unionByName(new.select(records.columns))
 
 
-def same_manifest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """One row (equal): as many records on both sides, and each left one has an equal right one."""
+#: What two records must agree in to be equal; revision, timestamp and real path don't count.
+RECORD_KEYS = ("type", "href", "base", "checksum", "checksum_type", "checksum_open", "checksum_open_type", "checksum_header", "checksum_header_type", "size", "size_open", "size_header", "database_version")
+
+
+def same_set(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (equal): as many rows on both sides, and each left one has an equal right one."""
     count = lambda d: d.agg(F.count("*").alias("n"))
     right = b.select(keys).distinct().alias("r")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
@@ -183,10 +235,47 @@ def same_manifest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return count(a).withColumnRenamed("n", "x").join(count(b).withColumnRenamed("n", "y")).join(lost).select(((F.col("x") == F.col("y")) & (F.col("lost") == 0)).alias("equal"))
 
 
+def same_manifest(a: DataFrame, b: DataFrame, tags_a: DataFrame | None = None, tags_b: DataFrame | None = None) -> DataFrame:
+    """One row (equal): the records are the same set, and so are the tags (kind, cpeid, value), if given."""
+    keys = [k for k in RECORD_KEYS if k in a.columns and k in b.columns]
+    equal = same_set(a, b, keys)
+    if tags_a is None or tags_b is None:
+        return equal
+    kinds = same_set(tags_a, tags_b, ["kind", "cpeid", "value"]).withColumnRenamed("equal", "tags")
+    # As many of each kind, too.
+    sizes = same_set(tags_a.groupBy("kind").count(), tags_b.groupBy("kind").count(), ["kind", "count"]).withColumnRenamed("equal", "sizes")
+    return equal.join(kinds).join(sizes).select((F.col("equal") & F.col("tags") & F.col("sizes")).alias("equal"))
+
+
+def modify_records(records: DataFrame, tasks: DataFrame, contents: DataFrame) -> DataFrame:
+    """Manifest records after the tasks of a batch file (of batch_tasks): those of the tasks' types go, new ones come.
+
+    contents: path and, as for records, href, checksum, checksum_type, sizes and so on of the new files as they were written.
+    The record type is the task's, else what the file's name says; the last task of a type counts; a unique name has the
+    checksum before it. A task that adds a file which is not there fails the job.
+    """
+    named = tasks.withColumn("type", F.coalesce("type", paths.derived_type(F.coalesce("new_name", "path"))))
+    kept = records.join(named.select("type").distinct(), "type", "left_anti")
+    files = contents.select(F.col("path").alias("_path"), F.struct(*(c for c in contents.columns if c != "path")).alias("file"))
+    last = first_by(named.where(~F.col("remove")), ["type"], [F.desc("place")])
+    added = last.join(files, F.col("path") == F.col("_path"), "left")
+    href = F.when(F.col("file").isNull(), F.raise_error(F.concat(F.lit("no such file: "), "path")).cast("string")).otherwise(F.col("file.href"))
+    own = F.concat(paths.directory(href), paths.record_name(paths.base_name(href), F.col("file.checksum")))
+    fields = [f"file.{c}" for c in contents.columns if c not in ("path", "href", "type") and c in records.columns]
+    new = added.select("type", F.when(F.col("unique"), own).otherwise(href).alias("href"), *fields)
+    return kept.unionByName(new, allowMissingColumns=True).select(records.columns)
+
+
+def unchanged(old: DataFrame, new: DataFrame, retain: bool = False) -> DataFrame:
+    """One row (equal): whether publishing can be left out, as the manifests are equal and no old files are to be retained."""
+    return same_manifest(old, new).select((F.col("equal") & F.lit(not retain)).alias("equal"))
+
+
 def retain_newest(files: DataFrame, n: int) -> DataFrame:
-    """Outdated metadata files: all but the n newest of each kind."""
+    """Outdated metadata files: all but the n newest of each kind. Only n rows of a kind and task are ranked; the rest is an anti-join."""
     w = Window.partitionBy("kind").orderBy(F.desc("mtime"), F.desc("href"))
-    return files.withColumn("place", F.row_number().over(w)).where(F.col("place") > n)
+    newest = files.select("kind", "mtime", "href").withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n)
+    return files.join(newest, ["kind", "href"], "left_anti")
 
 
 def retain_age(files: DataFrame, now: Column, oldest: Column) -> DataFrame:

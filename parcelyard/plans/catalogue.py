@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelyard.functions import codes, paths, version
-from parcelyard.operators import dedup, headers, merge, metadata, quality
+from parcelyard.operators import dedup, headers, merge, metadata, ordering, quality
 from parcelyard.plans.views import duck, view
-from parcelyard.sources import files, snippets, writer
+from parcelyard.sources import files, repository, snippets, writer
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -81,10 +81,12 @@ def merge_simple(spark, sf):
     return merge.merge(view(spark, sf, "pkg"), "simple").select(*SHOWN, "is_dup")
 
 
-@query(f"{duck('pkg')} SELECT ord, row_number() OVER (PARTITION BY arch ORDER BY name, href, coalesce(location_base, ' '), ord) AS place FROM pkg")
+OUTPUT = "name NULLS FIRST, href NULLS FIRST, location_base NULLS FIRST, ord"
+
+
+@query(f"{duck('pkg')} SELECT ord, row_number() OVER (ORDER BY {OUTPUT}) AS place FROM pkg")
 def merge_output_order(spark, sf):
-    w = Window.partitionBy("arch").orderBy("name", "href", F.coalesce("location_base", F.lit(" ")), "ord")
-    return view(spark, sf, "pkg").select("ord", F.row_number().over(w).cast("long").alias("place"))
+    return ordering.numbered(view(spark, sf, "pkg"), merge.output_order()).select("ord", "place")
 
 
 SRPM_NAME = "regexp_extract(regexp_replace(srpm, '[.]src[.]rpm$', ''), '^(.*)-([^-]*)-([^-]*)$', 1)"
@@ -129,16 +131,39 @@ def koji_full(spark, sf):
 
 
 FILE_NAME = "regexp_extract({}, '([^/]*)$', 1)"
-AS_NOARCH = "p AS (SELECT * REPLACE (CASE WHEN ord % 2 = 0 THEN 'noarch' ELSE arch END AS arch) FROM pkg)"
+ALL = ["pkgid", "name", "arch", "epoch", "version", "release", "time_file", "size_package", "href", "srpm", "location_base"]
 
 
 @query(
-    f"{duck('pkg')}, {AS_NOARCH}, other AS (SELECT {FILE_NAME.format('href')} AS f, min(pkgid) AS pkgid, min(repo_id) AS repo_id FROM p WHERE repo_id = 2 AND ord < 1400 GROUP BY 1) "
-    f"SELECT p.ord, p.arch, coalesce(o.pkgid, p.pkgid) AS pkgid, coalesce(o.repo_id, p.repo_id) AS repo_id FROM p LEFT JOIN other o ON p.arch = 'noarch' AND {FILE_NAME.format('p.href')} = o.f"
+    f"{duck('pkg')}, other AS (SELECT *, {FILE_NAME.format('href')} AS f FROM pkg WHERE repo_id = 2 QUALIFY row_number() OVER (PARTITION BY {FILE_NAME.format('href')} ORDER BY repo_id, ord) = 1) "
+    f"SELECT p.ord, p.repo_id, {', '.join(f'CASE WHEN o.f IS NULL THEN p.{c} ELSE o.{c} END AS {c}' for c in ALL)} FROM pkg p LEFT JOIN other o ON p.arch = 'noarch' AND {FILE_NAME.format('p.href')} = o.f"
 )
 def noarch_substitute(spark, sf):
-    pkgs = view(spark, sf, "pkg").withColumn("arch", F.when(F.col("ord") % 2 == 0, "noarch").otherwise(F.col("arch")))
-    return merge.substitute_noarch(pkgs, pkgs.where("repo_id = 2 AND ord < 1400"), paths.base_name(F.col("href"))).select("ord", "arch", "pkgid", "repo_id")
+    """noarch packages of all repositories against the whole third one."""
+    pkgs = view(spark, sf, "pkg")
+    return merge.substitute_noarch(pkgs, pkgs.where("repo_id = 2"), paths.base_name(F.col("href"))).select("ord", "repo_id", *ALL)
+
+
+URLS = {0: "http://first", 1: "http://second", 2: "http://third"}
+URL = "CASE repo_id WHEN 0 THEN 'http://first' WHEN 1 THEN 'http://second' ELSE 'http://third' END"
+
+
+@query(
+    f"{duck('pkg')}, f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY repo_id, ord) = 1 AS is_first, {URL} AS url FROM pkg) "
+    "SELECT ord, CASE WHEN location_base IS NULL OR (is_first AND location_base = '') THEN url ELSE location_base END AS base, CASE WHEN repo_id > 0 AND (location_base IS NULL OR (is_first AND location_base = '')) THEN url ELSE location_base END AS koji_base FROM f"
+)
+def base_default(spark, sf):
+    """Location bases that are filled in by the repositories' URLs; with koji not in the first repository."""
+    pkgs = view(spark, sf, "pkg")
+    plain, koji = merge.default_base(pkgs, URLS), merge.default_base(pkgs, URLS, koji=True)
+    return plain.select("ord", F.col("location_base").alias("base")).join(koji.select("ord", F.col("location_base").alias("koji_base")), "ord")
+
+
+@query(f"{duck('pkg')} SELECT {COLS} FROM pkg")
+def union_repos(spark, sf):
+    """Three repositories put together again, each with its place."""
+    pkgs = view(spark, sf, "pkg")
+    return merge.union_repos([pkgs.where(F.col("repo_id") == k).drop("repo_id") for k in range(3)]).select(SHOWN)
 
 
 @query(f"{duck('pkg')}, used AS ({first('name, arch', f'{EVR_DESC}, repo_id, ord')}) SELECT repo_id, count(*) AS loaded, (SELECT count(*) FROM used u WHERE u.repo_id = pkg.repo_id) AS used FROM pkg GROUP BY repo_id")
@@ -147,22 +172,19 @@ def repo_counts(spark, sf):
     return merge.repo_counts(pkgs, merge.merge(pkgs, "nvr"))
 
 
-@query(f"{duck('pkg')} SELECT ord, arch FROM pkg WHERE arch IN ('ECONOMY', 'SMALL', 'noarch') OR arch LIKE 'STANDARD%'")
+@query(f"{duck('pkg')} SELECT ord, arch, arch IN ('i386', 'noarch') AS plain, arch IN ('i386', 'i486', 'i586', 'geode', 'i686', 'athlon', 'noarch') AS expanded, arch IN ('x86_64', 'i386', 'i486', 'i586', 'geode', 'i686', 'athlon', 'noarch') AS multilib, arch IN ('sparc64', 'sparc64v', 'sparc64v2', 'noarch') AS sparc FROM pkg")
 def arch_filter(spark, sf):
-    pkgs = view(spark, sf, "pkg")
-    wanted = merge.arch_filter(pkgs, ["ECONOMY", "SMALL"])
-    return wanted.unionByName(pkgs.where(F.col("arch").startswith("STANDARD"))).select("ord", "arch")
-
+    """Which packages four lists of architectures let through: as given, expanded, with multilib partners, of another family."""
+    pkgs = view(spark, sf, "pkg").select("ord", "arch")
+    out = pkgs
+    for name, chosen in {"plain": merge.arch_filter(pkgs, ["i386"]), "expanded": merge.arch_filter(pkgs, ["i386"], expand=True), "multilib": merge.arch_filter(pkgs, ["x86_64"], multilib=True), "sparc": merge.arch_filter(pkgs, ["sparc64"], expand=True)}.items():
+        out = out.join(chosen.select("ord", F.lit(True).alias(name)), "ord", "left").withColumn(name, F.col(name).isNotNull())
+    return out
 
-CHUNKS = "sum(c) OVER (PARTITION BY arch ORDER BY name, href, ord ROWS UNBOUNDED PRECEDING)"
 
-
-@query(
-    f"{duck('pkg')} SELECT ord, CAST({CHUNKS} AS BIGINT) AS chunk FROM (SELECT *, CASE WHEN lag(ord) OVER w IS NULL OR srpm IS DISTINCT FROM lag(srpm) OVER w THEN 1 ELSE 0 END AS c FROM pkg WINDOW w AS (PARTITION BY arch ORDER BY name, href, ord))"
-)
+@query(f"{duck('pkg')} SELECT ord, CAST(sum(c) OVER (ORDER BY {OUTPUT} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk FROM (SELECT *, CASE WHEN srpm = lag(srpm) OVER (ORDER BY {OUTPUT}) THEN 0 ELSE 1 END AS c FROM pkg)")
 def srpm_chunks(spark, sf):
-    pkgs = view(spark, sf, "pkg").withColumn("srpm", F.coalesce("srpm", F.lit("-none-")))
-    return merge.source_chunks(pkgs).select("ord", F.col("chunk").cast("long").alias("chunk"))
+    return merge.source_chunks(view(spark, sf, "pkg")).select("ord", F.col("chunk").cast("long").alias("chunk"))
 
 
 # --- keyed loads -----------------------------------------------------------------------------------------------------
@@ -211,7 +233,7 @@ def nevra_keep_last(spark, sf):
 
 @query(f"{duck('pkg')} SELECT count(DISTINCT pkgid) AS n FROM pkg")
 def pkg_count(spark, sf):
-    return view(spark, sf, "pkg").agg(F.countDistinct("pkgid").alias("n"))
+    return files.package_count(view(spark, sf, "pkg"))
 
 
 # --- joins of parts --------------------------------------------------------------------------------------------------
@@ -329,20 +351,34 @@ def cascade_delete(spark, sf):
     return metadata.cascade_delete(view(spark, sf, "dep"), view(spark, sf, "pkg").where("repo_id = 1").select(F.col("ord").alias("pkgkey"))).select("pkgkey", "kind", "pos")
 
 
+#: Full version text, flags without nulls.
+FULL = "coalesce(epoch || ':', '') || coalesce(version, '') || coalesce('-' || release, '') AS full_version, coalesce(flags, '') AS f"
+OWN_FILE = "SELECT DISTINCT pkgkey, '/etc/s' || CAST(pkgkey % 3 AS VARCHAR) AS name FROM dep"
+
+
 @query(
-    f"{duck('dep')} SELECT pkgkey, name, flags, version, pre, pos FROM dep d WHERE kind = 'requires' AND name NOT LIKE 'rpmlib(%' AND NOT EXISTS (SELECT 1 FROM dep p WHERE p.kind = 'provides' AND p.pkgkey = d.pkgkey AND p.name = d.name AND p.flags = d.flags AND p.version = d.version) "
-    "QUALIFY row_number() OVER (PARTITION BY pkgkey, name, flags, version, pre ORDER BY pos) = 1"
+    f"{duck('dep')}, d AS (SELECT *, {FULL} FROM dep), own AS ({OWN_FILE}), r AS (SELECT * FROM d WHERE kind = 'requires' AND NOT starts_with(name, 'rpmlib(') AND NOT EXISTS (SELECT 1 FROM own o WHERE o.pkgkey = d.pkgkey AND o.name = d.name) "
+    "AND NOT EXISTS (SELECT 1 FROM d p WHERE p.kind = 'provides' AND p.pkgkey = d.pkgkey AND p.name = d.name AND p.f = d.f AND p.full_version = d.full_version)), "
+    "l AS (SELECT *, lag({'f': f, 'v': full_version, 'p': pre}) OVER (PARTITION BY pkgkey, name ORDER BY pos) AS before FROM r) "
+    "SELECT pkgkey, name, flags, epoch, version, release, pre, pos FROM l WHERE starts_with(name, 'libc.so.6') OR before IS NULL OR before.f <> f OR before.v <> full_version OR before.p <> pre"
 )
 def requires_cleanup(spark, sf):
-    return metadata.clean_requires(view(spark, sf, "dep"), view(spark, sf, "file")).select("pkgkey", "name", "flags", "version", "pre", "pos")
+    """Requires of packages that own one primary file each: kept is what differs from the last kept one of its name."""
+    deps = view(spark, sf, "dep")
+    own = deps.select("pkgkey", F.concat(F.lit("/etc/s"), (F.col("pkgkey") % 3).cast("string")).alias("path")).distinct()
+    return metadata.clean_requires(deps, own).select("pkgkey", "name", "flags", "epoch", "version", "release", "pre", "pos")
 
 
-LIBC = ver("regexp_extract(name, '[(][^0-9)]*([0-9][0-9.]*)', 1)")
+LIBC = (
+    "CASE WHEN NOT contains(name, '(') THEN 0 WHEN NOT contains(substr(name, strpos(name, '(')), ')') THEN 1 WHEN regexp_matches(name, '^[^(]*[(][)]') THEN 2 WHEN NOT regexp_matches(name, '^[^(]*[(][^)]*[0-9]') THEN 3 ELSE 4 END DESC, "
+    + ver("regexp_extract(name, '^[^(]*[(][^0-9)]*([0-9][^)]*)', 1)")
+    + " DESC, pos"
+)
 
 
 @query(
-    f"{duck('dep')} SELECT pkgkey, name, pos FROM dep WHERE kind = 'requires' AND name NOT LIKE 'libc.so.6(%' UNION ALL "
-    f"(SELECT pkgkey, name, pos FROM dep WHERE kind = 'requires' AND name LIKE 'libc.so.6(%' QUALIFY row_number() OVER (PARTITION BY pkgkey ORDER BY {LIBC} DESC, pos) = 1)"
+    f"{duck('dep')} SELECT pkgkey, name, pos FROM dep WHERE kind = 'requires' AND NOT starts_with(name, 'libc.so.6') UNION ALL "
+    f"(SELECT pkgkey, name, pos FROM dep WHERE kind = 'requires' AND starts_with(name, 'libc.so.6') QUALIFY row_number() OVER (PARTITION BY pkgkey ORDER BY {LIBC}) = 1)"
 )
 def libc_highest(spark, sf):
     return metadata.highest_libc(view(spark, sf, "dep").where("kind = 'requires'")).select("pkgkey", "name", "pos")
@@ -381,7 +417,8 @@ def delta_candidates(spark, sf):
 
 @query(f"{duck('pkg')}, {PAIRS} SELECT target, old, dir, row_number() OVER (PARTITION BY target, dir ORDER BY k DESC, old) AS place FROM pairs QUALIFY place <= 2")
 def delta_topk(spark, sf):
-    return metadata.newest_deltas(delta_pairs(spark, sf), 2).select("target", "old", "dir", F.col("place").cast("long").alias("place"))
+    pkgs = view(spark, sf, "pkg")
+    return metadata.delta_topk(pkgs.where("repo_id = 0"), pkgs.where("repo_id > 0"), 150000, 2).select("target", "old", "dir", F.col("place").cast("long").alias("place"))
 
 
 @query(f"{duck('pkg')}, {PAIRS} SELECT target, count(*) AS n, string_agg(CAST(old AS VARCHAR), ',' ORDER BY old) AS olds FROM pairs GROUP BY 1")
@@ -392,10 +429,10 @@ def delta_group(spark, sf):
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 
-@query(f"{duck('pkg')}, v AS (SELECT ord, {EVR} , row_number() OVER (PARTITION BY arch ORDER BY {EVR}, ord) AS place FROM pkg) SELECT ord, place FROM v")
+@query(f"{duck('pkg')} SELECT ord, row_number() OVER (ORDER BY {EVR}, ord) AS place FROM pkg")
 def version_order(spark, sf):
     k = version.merge_key(F.col("epoch"), F.col("version"), F.col("release"))
-    return view(spark, sf, "pkg").select("ord", F.row_number().over(Window.partitionBy("arch").orderBy(k, "ord")).cast("long").alias("place"))
+    return ordering.numbered(view(spark, sf, "pkg").select("ord", k.alias("k")), ["k", "ord"]).select("ord", "place")
 
 
 A, B = ver("version"), ver("other")
@@ -472,9 +509,9 @@ def split_media_base(spark, sf):
     return view(spark, sf, "pkg").select("ord", paths.media_base(F.col("location_base"), F.col("repo_id")).alias("base"))
 
 
-@query(f"{duck('pkg')} SELECT ord, CASE WHEN starts_with(b, 'http://repo/') THEN regexp_replace('ftp://mirror/' || substr(b, 13), '/+$', '') ELSE b END AS base FROM (SELECT ord, coalesce(location_base, 'http://repo/default/') AS b FROM pkg)")
+@query(f"{duck('pkg')} SELECT ord, CASE WHEN starts_with(b, 'http://repo/') THEN 'ftp://mirror/' || substr(b, 13) ELSE b END AS base FROM (SELECT ord, regexp_replace(coalesce(location_base, 'http://elsewhere/' || repo_id || '//'), '/+$', '') AS b FROM pkg)")
 def base_url(spark, sf):
-    base = F.coalesce("location_base", F.lit("http://repo/default/"))
+    base = F.coalesce("location_base", F.concat(F.lit("http://elsewhere/"), F.col("repo_id").cast("string"), F.lit("//")))
     return view(spark, sf, "pkg").select("ord", paths.replace_prefix(base, "http://repo/", "ftp://mirror/").alias("base"))
 
 
@@ -489,33 +526,84 @@ def pre_parse(spark, sf):
     return view(spark, sf, "dep").select("pkgkey", "pos", codes.parse_pre(v).alias("pre"))
 
 
+#: File names, first bytes as hex, and what they tell.
+SEEN = [
+    ("a.gz", "00", "gz"), ("a.gzip", "00", "gz"), ("a.gunzip", "425A680000", "gz"), ("a.bz2", "00", "bz2"), ("a.bzip2", "1F8B080000", "bz2"), ("a.xz", "00", "xz"), ("a.zck", "1F8B080000", "zck"), ("a.zst", "00", "zstd"),
+    ("a.xml", "1F8B080000", "none"), ("a.tar", "28B52FFD00", "none"), ("a.yaml", "00", "none"), ("a.sqlite", "425A680000", "none"), ("a.txt", "FD377A585A", "none"),
+    ("a", "1F8B080000", "gz"), ("a", "425A390000", "bz2"), ("a", "FD377A585A", "xz"), ("a", "28B52FFD00", "zstd"), ("a", "005A434B31", "zck"), ("a", "1F8B", "none"), ("a", "3C3F786D6C", "none"), ("b/a.unknown", "3C3F786D6C", "none"), ("b.c/a.b.unknown", "3C3F786D6C", "unknown"),
+]
+NUMBERED = [("12", 12), (" 12x", 12), ("-7", -7), ("+8", 8), ("x", 0), ("", 0), (None, 0), ("99999999999999999999", 2**63 - 1), ("-99999999999999999999", -(2**63)), ("9223372036854775807", 2**63 - 1), ("0x", 0), ("00", 0)]
+
+
+def listed(rows: list[tuple]) -> str:
+    """The rows as an SQL VALUES list."""
+    one = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
 @query(
     "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'sha256' WHEN event_id % 3 = 1 THEN 'md5' ELSE 'unknown' END AS checksum, CASE event_id % 4 WHEN 0 THEN '.gz' WHEN 1 THEN '.zst' WHEN 2 THEN '.bz2' END AS suffix, "
-    "CASE CAST(event_id % 12 AS INT) WHEN 1 THEN 'md5' WHEN 2 THEN 'sha1' WHEN 8 THEN 'sha256' WHEN 9 THEN 'sha384' WHEN 10 THEN 'sha512' WHEN 11 THEN 'sha224' ELSE 'unknown' END AS algorithm, "
-    "CASE event_id % 5 WHEN 0 THEN 'gz' WHEN 1 THEN 'xz' WHEN 2 THEN 'zstd' WHEN 3 THEN 'bz2' ELSE 'none' END AS detected FROM events"
+    "CASE CAST(event_id % 12 AS INT) WHEN 1 THEN 'md5' WHEN 2 THEN 'sha1' WHEN 8 THEN 'sha256' WHEN 9 THEN 'sha384' WHEN 10 THEN 'sha512' WHEN 11 THEN 'sha224' ELSE 'unknown' END AS algorithm FROM events"
 )
 def code_names(spark, sf):
     n = F.col("event_id")
     kind = F.when(n % 3 == 0, "SHA256").when(n % 3 == 1, "MD5").otherwise("crc")
     comp = F.when(n % 4 == 0, "GZ").when(n % 4 == 1, "zstd").when(n % 4 == 2, "bzip2").otherwise("rar")
-    head = F.when(n % 5 == 0, "1F8B08").when(n % 5 == 1, "FD377A585A00").when(n % 5 == 2, "28B52FFD").otherwise("00")
-    path = F.when(n % 5 == 3, "a.bz2").otherwise("a")
     rows = spark.read.parquet(f"{sf}/events.parquet")
-    return rows.select("event_id", codes.checksum_type(kind).alias("checksum"), codes.compression_suffix(comp).alias("suffix"), codes.digest_algorithm((n % 12).cast("int")).alias("algorithm"), codes.detect_compression(path, head).alias("detected"))
+    return rows.select("event_id", codes.checksum_type(kind).alias("checksum"), codes.compression_suffix(comp).alias("suffix"), codes.digest_algorithm((n % 12).cast("int")).alias("algorithm"))
+
 
+@query(f"SELECT event_id, told AS compression FROM events JOIN (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES {listed(SEEN)}) v(path, head, told)) ON event_id % {len(SEEN)} = k")
+def compression_detect(spark, sf):
+    """Compression by name or first bytes, each kind of name and of beginning in turn."""
+    n = (F.col("event_id") % len(SEEN)).cast("int")
+    at = lambda k: F.get(F.array(*(F.lit(r[k]) for r in SEEN)), n)
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", codes.detect_compression(at(0), at(1)).alias("compression"))
 
-@query("SELECT event_id, (event_id % 90) * CASE event_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 86400 ELSE 1 END AS seconds, event_id % 1000 AS parsed FROM events")
+
+@query(
+    "SELECT event_id, (event_id % 90) * CASE event_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 3600 WHEN 2 THEN 86400 ELSE 1 END AS seconds, parsed, CASE WHEN t LIKE '%9999999%' THEN 'overflow' WHEN t IN ('x', '0x') THEN 'garbage' END AS fault "
+    f"FROM events JOIN (SELECT row_number() OVER () - 1 AS k, t, CAST(parsed AS BIGINT) AS parsed FROM (VALUES {listed(NUMBERED)}) v(t, parsed)) ON event_id % {len(NUMBERED)} = k"
+)
 def number_parse(spark, sf):
+    """Durations in seconds; integers with what follows them, out of range and without digits."""
     n = F.col("event_id")
     unit = F.when(n % 4 == 0, "m").when(n % 4 == 1, "h").when(n % 4 == 2, "d").otherwise("")
+    text = F.get(F.array(*(F.lit(r[0]) for r in NUMBERED)), (n % len(NUMBERED)).cast("int"))
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return rows.select("event_id", codes.seconds(F.concat((n % 90).cast("string"), unit)).alias("seconds"), codes.parse_long(text).alias("parsed"), codes.number_fault(text).alias("fault"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'cpe:/o:x' END AS cpeid, CASE WHEN event_id % 2 = 0 THEN 'a,b' ELSE 'plain' END AS value, event_id % 3 = 0 AS simple, "
+    "CASE event_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'abc-primary' ELSE 'group' END AS derived, CASE WHEN event_id % 2 = 0 THEN 'x.xml' ELSE 'x.tar.lz' END AS bare FROM events"
+)
+def manifest_names(spark, sf):
+    """Distribution tags, simple file names, record types by file name, names without a compression's ending."""
+    n = F.col("event_id")
+    tag = F.when(n % 2 == 0, "cpe:/o:x,a,b").otherwise("plain")
+    href = F.when(n % 3 == 0, "repodata/primary.xml.gz").when(n % 3 == 1, "repodata/abc-primary.xml.gz").otherwise("x/group.xml")
     rows = spark.read.parquet(f"{sf}/events.parquet")
-    return rows.select("event_id", codes.seconds(F.concat((n % 90).cast("string"), unit)).alias("seconds"), codes.parse_long(F.concat(F.lit(" "), (n % 1000).cast("string"), F.lit("x"))).alias("parsed"))
+    return rows.select("event_id", codes.distro_tag(tag).alias("t"), paths.simple_file_name(href).alias("simple"), paths.derived_type(href).alias("derived"), paths.strip_compression(F.when(n % 2 == 0, "x.xml.zst").otherwise("x.tar.lz")).alias("bare")).select("event_id", "t.*", "simple", "derived", "bare")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'H' || chr(228) || 'nd' ELSE 'ab' END AS gated, CASE doc_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'H' || chr(228) || 'nd' ELSE 'a' || chr(1) || 'b' END AS latin1 FROM documents")
+def text_gate(spark, sf):
+    """Bytes that are no UTF-8 count as Latin-1; text of the tables has no control characters either."""
+    n = F.col("doc_id")
+    raw = F.when(n % 3 == 0, F.encode(F.lit("plain"), "UTF-8")).when(n % 3 == 1, F.unhex(F.lit("48E4816E64"))).otherwise(F.unhex(F.lit("610162")))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", codes.database_text(raw).alias("gated"), codes.latin1_to_utf8(raw).alias("latin1"))
 
 
 @query("SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1 FROM documents")
 def content_digest(spark, sf):
-    t = F.col("text")
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.octet_length(t).cast("long").alias("size"), F.sha2(t, 256).alias("sha256"), F.md5(t).alias("md5"), F.sha1(t).alias("sha1"))
+    """Size and digests of contents, as files of a walk have them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    rows = docs.withColumn("path", F.col("path").cast("string"))
+    out = files.content_stats(rows).select("path", "size", F.col("checksum").alias("sha256"))
+    for kind in ("md5", "sha1"):
+        out = out.join(files.content_stats(rows, kind).select("path", F.col("checksum").alias(kind)), "path")
+    return out.select(F.col("path").cast("long").alias("doc_id"), "size", "sha256", "md5", "sha1")
 
 
 @query("SELECT doc_id, regexp_matches(CASE WHEN doc_id % 9 = 0 THEN text || chr(1 + CAST(doc_id % 31 AS INT)) ELSE text END, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS forbidden FROM documents")
@@ -534,10 +622,9 @@ def ampersand_unescape(spark, sf):
 RANK = "list_position(['primary','filelists','other','primary_db','filelists_db','other_db','primary_zck','filelists_zck','other_zck'], type)"
 
 
-@query(f"{duck('record')} SELECT event_id, row_number() OVER (PARTITION BY size % 16 ORDER BY coalesce({RANK}, 99), type, href) AS place FROM record")
+@query(f"{duck('record')} SELECT event_id, row_number() OVER (ORDER BY coalesce({RANK}, 99), type, href) AS place FROM record")
 def manifest_sort(spark, sf):
-    w = Window.partitionBy(F.col("size") % 16).orderBy(metadata.record_rank(F.col("type")), "type", "href")
-    return view(spark, sf, "record").select("event_id", F.row_number().over(w).cast("long").alias("place"))
+    return ordering.numbered(view(spark, sf, "record"), [metadata.record_rank(F.col("type")), "type", "href"]).select("event_id", "place")
 
 
 @query(f"{duck('record')}, a AS (SELECT * FROM record WHERE event_id % 2 = 0), b AS (SELECT * FROM record WHERE event_id % 24 = 3 OR event_id % 24 = 4) SELECT event_id, type, href FROM a WHERE type NOT IN (SELECT type FROM b) UNION ALL SELECT event_id, type, href FROM b")
@@ -546,12 +633,35 @@ def manifest_upsert(spark, sf):
     return metadata.upsert_records(r.where("event_id % 2 = 0"), r.where("event_id % 24 IN (3, 4)")).select("event_id", "type", "href")
 
 
-@query("SELECT 1 AS pair, true AS equal UNION ALL SELECT 2, false")
+KEYS = "type, href, base, checksum, checksum_type, size, size_open, database_version"
+SIDES = {1: "true", 2: "event_id <> 7", 3: "event_id % 12 > 0", 4: "true"}
+
+
+@query(
+    f"{duck('record')}, sides AS (SELECT * FROM (VALUES (1), (2), (3), (4)) s(pair)), other AS (SELECT pair, record.* REPLACE (CASE WHEN pair = 4 AND event_id = 7 THEN size + 1 ELSE size END AS size) FROM record, sides WHERE pair IN (1, 4) OR (pair = 2 AND event_id <> 7) OR (pair = 3 AND event_id % 12 > 0)) "
+    f"SELECT pair, (SELECT count(*) FROM record) = (SELECT count(*) FROM other o WHERE o.pair = s.pair) AND NOT EXISTS (SELECT {KEYS} FROM record EXCEPT SELECT {KEYS} FROM other o WHERE o.pair = s.pair) AS equal FROM sides s"
+)
 def manifest_equal(spark, sf):
-    r, keys = view(spark, sf, "record"), ["type", "href", "checksum", "size"]
-    again = r.orderBy("checksum")
-    other = r.withColumn("size", F.when(F.col("event_id") == 7, F.col("size") + 1).otherwise(F.col("size")))
-    return metadata.same_manifest(r, again, keys).select(F.lit(1).alias("pair"), "equal").unionByName(metadata.same_manifest(r, other, keys).select(F.lit(2).alias("pair"), "equal"))
+    """A manifest against itself, without one record, without the records of a type, and with another size in one record."""
+    r = view(spark, sf, "record")
+    changed = r.withColumn("size", F.when(F.col("event_id") == 7, F.col("size") + 1).otherwise(F.col("size")))
+    every = [metadata.same_manifest(r, (changed if k == 4 else r).where(which)).select(F.lit(k).alias("pair"), "equal") for k, which in SIDES.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+TASKS = [(0, "x/group.xml", None, False, True, None, True, None, None), (1, "x/comps.xml", "group", False, False, None, False, None, None), (2, "y.xml", "primary_db", True, True, None, True, None, None), (3, "z", None, False, True, None, True, None, "extra.info.xml"), (4, "absent", "other_zck", True, True, None, True, None, None)]
+CONTENTS = [("x/group.xml", "repodata/group.xml.gz", "c0", "sha256", 5), ("x/comps.xml", "repodata/comps.xml", "c1", "sha256", 6), ("z", "repodata/extra.info.xml.gz", "c3", "sha256", 8)]
+
+
+@query(
+    f"{duck('record')} SELECT type, href, checksum, size FROM record WHERE type NOT IN ('group', 'primary_db', 'extra', 'other_zck') "
+    "UNION ALL SELECT 'group', 'repodata/comps.xml', 'c1', 6 UNION ALL SELECT 'extra', 'repodata/c3-extra.info.xml.gz', 'c3', 8"
+)
+def manifest_modify(spark, sf):
+    """The tasks of a batch file applied to a manifest: two of one type, removals, a type by the file's name, unique names."""
+    tasks = spark.createDataFrame(TASKS, "place int, path string, type string, remove boolean, compress boolean, compress_type string, unique boolean, checksum string, new_name string")
+    contents = spark.createDataFrame(CONTENTS, "path string, href string, checksum string, checksum_type string, size bigint")
+    return metadata.modify_records(view(spark, sf, "record"), tasks, contents).select("type", "href", "checksum", "size")
 
 
 @query(f"{duck('record')} SELECT event_id, checksum || '-' || type || '.xml.gz' AS name FROM record")
@@ -581,29 +691,98 @@ def advisory_explode(spark, sf):
 # --- scans and sinks -------------------------------------------------------------------------------------------------
 
 
-@query(f"{duck('pkg')} SELECT ord, name, arch, epoch, version, release, pkgid, href, size_package FROM (SELECT * REPLACE (coalesce(epoch, '0') AS epoch) FROM pkg)")
+PACKAGE_TEXTS, PACKAGE_NUMBERS = list(snippets.TEXTS), list(snippets.NUMBERS)
+READ_BACK = ", ".join(
+    f"CASE WHEN starts_with(location_base, '/') THEN 'file://' || location_base ELSE location_base END AS {c}" if c == "location_base" else f"coalesce(epoch, '0') AS {c}" if c == "epoch" else f"coalesce(\"{c}\", '') AS \"{c}\"" if c in ("packager", "vendor", "srpm") else f'"{c}"'
+    for c in PACKAGE_TEXTS + PACKAGE_NUMBERS
+)
+
+
+@query(f"{duck('full_pkg')} SELECT ord, {READ_BACK} FROM full_pkg")
 def primary_round_trip(spark, sf):
-    """Packages written as primary chunks and scanned again."""
-    chunks = view(spark, sf, "pkg").select("ord", snippets.primary_chunk().alias("xml"))
-    return snippets.scan_primary(chunks, "xml", "ord").select("ord", "name", "arch", "epoch", "version", "release", "pkgid", "href", "size_package")
+    """All texts and numbers of packages written as primary chunks and scanned again."""
+    pkgs = view(spark, sf, "full_pkg")
+    chunks = pkgs.select("ord", snippets.primary_chunk(pkgs.columns).alias("xml"))
+    found = snippets.scan_primary(chunks, "xml", "ord").select("ord", *PACKAGE_TEXTS, *PACKAGE_NUMBERS)
+    return found.withColumns({c: F.coalesce(c, F.lit("")) for c in ("packager", "vendor", "srpm")})
+
+
+def with_lists(spark, sf):
+    """Packages with their dependencies, files and changelogs as arrays."""
+    deps, rows, logs = view(spark, sf, "dep"), view(spark, sf, "file"), view(spark, sf, "chlog")
+    entry = F.struct("pos", "name", "flags", "epoch", "version", "release", "pre")
+    bare = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, entry))), lambda d: d.dropFields("pos")).alias(k)
+    nested = deps.groupBy(F.col("pkgkey").alias("ord")).agg(*map(bare, KINDS))
+    held = rows.groupBy(F.col("pkgkey").alias("ord")).agg(F.sort_array(F.collect_list(F.struct("pos", "path", "type", F.md5("path").alias("hash")))).alias("files"))
+    told = logs.groupBy(F.col("pkgkey").alias("ord")).agg(F.sort_array(F.collect_list(F.struct("pos", "author", "date", "changelog"))).alias("changelogs"))
+    return view(spark, sf, "full_pkg").join(nested, "ord", "left").join(held, "ord", "left").join(told, "ord", "left")
 
 
-@query(f"{duck('file')} SELECT pkgkey, path, CASE type WHEN '' THEN NULL ELSE type END AS type FROM file")
+@query(
+    f"{duck('dep', 'full_pkg')} SELECT pkgkey, kind, name, flags, CASE WHEN flags IS NOT NULL THEN epoch END AS epoch, CASE WHEN flags IS NOT NULL THEN version END AS version, CASE WHEN flags IS NOT NULL THEN release END AS release, "
+    "CASE WHEN kind = 'requires' THEN pre END AS pre FROM dep WHERE pkgkey IN (SELECT ord FROM full_pkg)"
+)
+def dependency_round_trip(spark, sf):
+    """All eight kinds of dependencies written as primary chunks, scanned again and unnested."""
+    pkgs = with_lists(spark, sf)
+    found = snippets.scan_primary(pkgs.select("ord", snippets.primary_chunk(pkgs.columns).alias("xml")), "xml", "ord")
+    return metadata.explode_deps(found.withColumnRenamed("ord", "pkgkey"), KINDS)
+
+
+@query(f"{duck('file', 'full_pkg')} SELECT p.pkgid, f.path, f.type, md5(f.path) AS hash FROM file f JOIN full_pkg p ON f.pkgkey = p.ord")
 def filelists_round_trip(spark, sf):
-    rows = view(spark, sf, "file")
-    nested = rows.groupBy("pkgkey").agg(F.sort_array(F.collect_list(F.struct("pos", "path", "type"))).alias("files"))
-    return snippets.scan_files(nested.select("pkgkey", snippets.filelists_chunk().alias("xml")), "xml", "pkgkey")
+    """File lists with digests, written and scanned again."""
+    pkgs = with_lists(spark, sf)
+    return snippets.scan_files(pkgs.select(snippets.filelists_chunk(pkgs.columns, extended=True).alias("xml")), "xml")
+
 
+@query(f"{duck('file', 'full_pkg')} SELECT p.ord, f.path, CASE type WHEN '' THEN 'file' ELSE type END AS type FROM file f JOIN full_pkg p ON f.pkgkey = p.ord WHERE path LIKE '/etc/%' OR path = '/usr/lib/sendmail' OR contains(path, 'bin/')")
+def primary_files_round_trip(spark, sf):
+    """Primary chunks hold the primary files only; a table calls the plain type ``file``."""
+    pkgs = with_lists(spark, sf)
+    found = snippets.scan_primary(pkgs.select("ord", snippets.primary_chunk(pkgs.columns).alias("xml")), "xml", "ord")
+    return metadata.primary_files(found.select("ord", F.inline("files"))).select("ord", "path", "type")
 
-@query(f"{duck('chlog')} SELECT pkgkey, author, date, changelog FROM chlog")
+
+@query(f"{duck('chlog', 'full_pkg')} SELECT p.pkgid, author, date, changelog FROM chlog JOIN full_pkg p ON pkgkey = ord")
 def other_round_trip(spark, sf):
-    nested = view(spark, sf, "chlog").groupBy("pkgkey").agg(F.sort_array(F.collect_list(F.struct("pos", "author", "date", "changelog"))).alias("changelogs"))
-    return snippets.scan_changelogs(nested.select("pkgkey", snippets.other_chunk().alias("xml")), "xml", "pkgkey")
+    pkgs = with_lists(spark, sf)
+    return snippets.scan_changelogs(pkgs.where("changelogs is not null").select(snippets.other_chunk(pkgs.columns).alias("xml")), "xml")
 
 
-@query(f"{duck('pkg')} SELECT ord, {NVRA} || chr(9) || coalesce(location_base, '') || href AS line FROM pkg")
+@query(f"{duck('pkg')} SELECT {NVRA} || chr(9) || coalesce(location_base, '') || href AS value FROM pkg")
 def pkgorigins(spark, sf):
-    return view(spark, sf, "pkg").select("ord", F.concat_ws("\t", version.nvra(*(F.col(c) for c in ("name", "version", "release", "arch"))), F.concat(F.coalesce("location_base", F.lit("")), "href")).alias("line"))
+    return writer.origins(view(spark, sf, "pkg"))
+
+
+@query(f"{duck('old_files', 'new_files')} SELECT href AS value FROM new_files n WHERE NOT {SAME}")
+def read_packages_list(spark, sf):
+    """What a build has to read, as it is not taken over from old metadata."""
+    return writer.read_list(view(spark, sf, "new_files"), view(spark, sf, "old_files"))
+
+
+@query(f"{duck('pkg')} SELECT ord, row_number() OVER (ORDER BY repo_id, ord) AS pkgkey FROM pkg")
+def package_keys(spark, sf):
+    """Package keys in the order of the load."""
+    return writer.with_pkgkey(view(spark, sf, "pkg"), ["repo_id", "ord"]).select("ord", "pkgkey")
+
+
+STAR = "rpm_vendor, rpm_sourcerpm, url, rpm_packager, location_base"
+
+
+@query(
+    f"{duck('full_pkg')} SELECT row_number() OVER (ORDER BY ord) AS \"pkgKey\", pkgid AS \"pkgId\", coalesce(vendor, '') AS rpm_vendor, coalesce(srpm, '') AS rpm_sourcerpm, nullif(url, '') AS url, nullif(packager, '') AS rpm_packager, nullif(location_base, '') AS location_base, time_build FROM full_pkg"
+)
+def star_packages(spark, sf):
+    """The star's package table, as it is made of whole packages."""
+    tables = writer.star_tables(writer.with_pkgkey(with_lists(spark, sf), ["ord"]))
+    return tables["packages"].select("pkgKey", "pkgId", *STAR.split(", "), "time_build")
+
+
+@query(f"{duck('dep', 'full_pkg')}, k AS (SELECT ord, row_number() OVER (ORDER BY ord) AS pkgkey FROM full_pkg) SELECT k.pkgkey, name, flags, epoch, version, release, pre FROM dep JOIN k ON dep.pkgkey = k.ord WHERE kind = 'requires'")
+def star_requires(spark, sf):
+    tables = writer.star_tables(writer.with_pkgkey(with_lists(spark, sf), ["ord"]))
+    return tables["requires"].select("pkgkey", "name", "flags", "epoch", "version", "release", "pre")
 
 
 # --- headers, lists, retention, quality, documents -------------------------------------------------------------------
@@ -648,10 +827,9 @@ def explicit_list(spark, sf):
     return files.listed(pkgs.withColumn("path", F.col("href")), names).select("ord", "href")
 
 
-@query(f"{duck('pkg')} SELECT ord, row_number() OVER (PARTITION BY repo_id ORDER BY {FILE_NAME.format('href')}, href, ord) AS place FROM pkg")
+@query(f"{duck('pkg')} SELECT ord, row_number() OVER (ORDER BY {FILE_NAME.format('href')}, href, ord) AS place FROM pkg")
 def task_order(spark, sf):
-    w = Window.partitionBy("repo_id").orderBy(*files.task_order(), "ord")
-    return view(spark, sf, "pkg").withColumn("path", F.col("href")).select("ord", F.row_number().over(w).cast("long").alias("place"))
+    return ordering.numbered(view(spark, sf, "pkg").withColumn("path", F.col("href")), [*files.task_order(), "ord"]).select("ord", "place")
 
 
 @query("SELECT doc_id, sha256(text || 'id') AS key, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS cached FROM documents")
@@ -662,15 +840,14 @@ def cached_checksums(spark, sf):
     return files.with_cached(keyed, cache).select("doc_id", F.col("digest").alias("key"), "cached")
 
 
-BASES = "based AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 'http://other' END AS base FROM record WHERE event_id % 3 = 0)"
+BASES = "based AS (SELECT * FROM record WHERE event_id % 3 = 0)"
 
 
 @query(f"{duck('record')}, {BASES} SELECT event_id FROM record r WHERE {FILE_NAME.format('href')} IN (SELECT {FILE_NAME.format('href')} FROM based WHERE base IS NULL)")
 def retain_listed(spark, sf):
     """Files of the old manifest, which a build without retention leaves out."""
     r = view(spark, sf, "record")
-    old = r.where("event_id % 3 = 0").withColumn("base", F.when(F.col("event_id") % 7 == 0, "http://other"))
-    return metadata.listed_records(r, old).select("event_id")
+    return metadata.listed_records(r, r.where("event_id % 3 = 0")).select("event_id")
 
 
 @query(f"{duck('record')} SELECT event_id FROM record WHERE event_id % 3 > 0 AND event_id % 5 > 0")
@@ -691,13 +868,31 @@ def records_last(spark, sf):
     return metadata.set_timestamps(metadata.last_by_type(view(spark, sf, "record"), "event_id"), F.lit(7)).select("type", "event_id", "timestamp")
 
 
-@query(f"{duck('file')} SELECT pos AS pkgkey, 'unknown value' AS code, 'unknown file type: odd' AS message FROM file WHERE pos % 4 = 0 UNION ALL SELECT pos, 'bad attribute value', 'size: ' || pos || 'x' FROM file WHERE pos % 5 = 0 UNION ALL SELECT pos, 'missing attribute', 'size' FROM file WHERE pos % 5 = 1")
+@query(
+    f"{duck('file')} SELECT pos AS pkgkey, 'unknown value' AS code, 'unknown file type: odd' AS message FROM file WHERE pos % 4 = 0 UNION ALL SELECT pos, 'bad attribute value', 'size: x' || pos FROM file WHERE pos % 5 = 0 "
+    "UNION ALL SELECT pos, 'bad attribute value', 'size: 9' || pos || '99999999999999999999' FROM file WHERE pos % 5 = 2 UNION ALL SELECT pos, 'missing attribute', 'size' FROM file WHERE pos % 5 = 1 "
+    "UNION ALL SELECT pos, 'missing value', 'note' FROM file WHERE pos % 6 = 0 UNION ALL SELECT pos, 'unknown tag', 'package/strange' FROM file WHERE pos % 7 = 0 UNION ALL SELECT pos, 'unknown tag', 'package/format/rpm:odd' FROM file WHERE pos % 7 = 0 "
+    "UNION ALL SELECT pos, 'bad metadata type', 'no root element metadata' FROM file WHERE pos % 8 = 0"
+)
 def scan_warnings(spark, sf):
-    """Warnings of a scan as rows: unknown file types, absent and bad numbers."""
+    """Warnings of a scan as rows: unknown types and elements, absent, empty and bad values, documents of another kind.
+
+    Leading digits are enough for a number; what is inside of an unknown element is passed over.
+    """
     rows = view(spark, sf, "file").select(F.col("pos").alias("pkgkey"), F.when(F.col("pos") % 4 == 0, "odd").otherwise(F.col("type")).alias("type"))
     n = F.col("pkgkey")
-    sized = rows.withColumn("size", F.when(n % 5 == 0, F.concat(n.cast("string"), F.lit("x"))).when(n % 5 != 1, n.cast("string")))
-    return quality.file_type_warnings(rows).unionByName(quality.number_warnings(sized, "pkgkey", ["size"]))
+    text = n.cast("string")
+    size = F.when(n % 5 == 0, F.concat(F.lit("x"), text)).when(n % 5 == 2, F.concat(F.lit("9"), text, F.lit("99999999999999999999"))).when(n % 5 != 1, F.concat(text, F.lit("x")))
+    strange = F.when(n % 7 == 0, '<strange a="/>"><name>inner</name></strange><format><rpm:odd/><rpm:license>x</rpm:license></format>').otherwise("<format><rpm:license>x</rpm:license><!-- <odd> --></format>")
+    xml = F.concat(F.lit('<package type="rpm"><name>a &lt; b</name>'), strange, F.lit("</package>"))
+    root = F.concat(F.lit('<?xml version="1.0"?>'), F.when(n % 8 == 0, "<other/>").otherwise("<metadata/>"))
+    made = rows.withColumns({"size": size, "note": F.when(n % 6 == 0, "").otherwise("x"), "xml": xml, "root": root})
+    known = quality.element_paths(repository.fields_of(snippets.PRIMARY), "package")
+    every = [quality.file_type_warnings(made), quality.number_warnings(made, "pkgkey", ["size"]), quality.missing_values(made, "pkgkey", ["note"]), quality.element_warnings(made, "pkgkey", "xml", known), quality.root_warnings(made, "pkgkey", "root", "metadata")]
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query(f"{duck('pkg')} SELECT ord, ord % 10 <> 0 AND ord % 10 <> 1 AS sound FROM pkg")
@@ -731,8 +926,10 @@ def delta_document(spark, sf):
     return writer.delta_chunks(rows.withColumns({"filename": F.col("old").cast("string"), "sequence": nothing, "size": F.lit(1), "checksum": nothing, "checksum_type": nothing}))
 
 
-@query(f"{duck('record')} SELECT event_id, '<data type=\"' || type || '\"><checksum type=\"md5\">' || checksum || '</checksum><location href=\"' || href || '\"/><size>' || size || '</size></data>' AS value FROM record")
+@query(
+    f"{duck('record')} SELECT event_id, '<data type=\"' || type || '\"><checksum type=\"md5\">' || checksum || '</checksum><location href=\"' || href || '\"' || coalesce(' xml:base=\"' || base || '\"', '') || '/><size>' || size || '</size><open-size>' || size_open || '</open-size>' || "
+    "coalesce('<database_version>' || database_version || '</database_version>', '') || '</data>' AS value FROM record"
+)
 def manifest_records(spark, sf):
-    nothing = F.lit(None).cast("string")
-    rows = view(spark, sf, "record").withColumns({"checksum_type": F.lit("md5"), "checksum_open": nothing, "base": nothing, "timestamp": nothing, "size_open": nothing})
-    return rows.select("event_id", writer.record_xml().alias("value"))
+    rows = view(spark, sf, "record")
+    return rows.select("event_id", writer.record_xml(rows.columns).alias("value"))

@@ -43,11 +43,29 @@ def task_order() -> list[Column]:
     return [paths.base_name(F.col("path")), F.col("path")]
 
 
+def digest(content: Column, algorithm: str) -> Column:
+    made = {"md5": F.md5, "sha1": F.sha1, "sha": F.sha1}.get(algorithm) or (lambda c: F.sha2(c, int(algorithm.removeprefix("sha"))))
+    return made(content)
+
+
+def old_packages(spark: SparkSession, folders: list[str], max_size: int) -> DataFrame:
+    """Rows (folder, path, size): package files right in the folders of old packages, none larger than max_size. No file is opened."""
+    out = spark.createDataFrame([], "folder string, path string, size bigint")
+    for folder in folders:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rpm").load(folder)
+        out = out.unionByName(files.select(F.lit(folder).alias("folder"), "path", F.col("length").alias("size")))
+    return out.where(F.col("size") <= max_size)
+
+
+def package_count(pkgs: DataFrame) -> DataFrame:
+    """One row (n): packages by id."""
+    return pkgs.agg(F.countDistinct("pkgid").alias("n"))
+
+
 def content_stats(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """Files (path, content) with checksum, size, and the compression that the suffix or the first bytes tell."""
-    digest = {"md5": F.md5, "sha1": F.sha1, "sha": F.sha1}.get(algorithm) or (lambda c: F.sha2(c, int(algorithm.removeprefix("sha"))))
     kind = codes.detect_compression(F.col("path"), F.hex(F.substring("content", 1, 5)))
-    return files.select("path", digest(F.col("content")).alias("checksum"), F.length("content").cast("long").alias("size"), kind.alias("compression"))
+    return files.select("path", digest(F.col("content"), algorithm).alias("checksum"), F.length("content").cast("long").alias("size"), kind.alias("compression"))
 
 
 def cached_key(signatures: Column, header_id: Column) -> Column:
@@ -61,7 +79,7 @@ def with_cached(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def batch_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest changes of a batch file, a section each: path, type, remove, compress, compress_type, unique, checksum, new_name.
+    """Manifest changes of a batch file, a section each: place, path, type, remove, compress, compress_type, unique, checksum, new_name.
 
     The section's name stands for a missing path. The file is an option file for one command, so it is read on the driver.
     """
@@ -71,5 +89,5 @@ def batch_tasks(spark: SparkSession, path: str) -> DataFrame:
     rows = []
     for name in parser.sections():
         s = parser[name]
-        rows.append((s.get("path", name), s.get("type"), s.getboolean("remove", False), s.getboolean("compress", True), s.get("compress-type"), s.getboolean("unique-md-filenames", True), s.get("checksum"), s.get("new-name")))
-    return spark.createDataFrame(rows, "path string, type string, remove boolean, compress boolean, compress_type string, unique boolean, checksum string, new_name string")
+        rows.append((len(rows), s.get("path", name), s.get("type"), s.getboolean("remove", False), s.getboolean("compress", True), s.get("compress-type"), s.getboolean("unique-md-filenames", True), s.get("checksum"), s.get("new-name")))
+    return spark.createDataFrame(rows, "place int, path string, type string, remove boolean, compress boolean, compress_type string, unique boolean, checksum string, new_name string")

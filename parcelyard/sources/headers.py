@@ -48,15 +48,21 @@ def header_range(content: Column) -> Column:
     return F.struct(F.when(good, start).alias("start"), F.when(good, end).alias("end"))
 
 
-def list_files(spark: SparkSession, path: str, suffix: str = ".rpm") -> DataFrame:
-    """Files below a folder whose names end in the suffix: path, mtime, size, content. A file in a row; empty files are left out."""
+def list_files(spark: SparkSession, path: str, suffix: str = ".rpm", content: bool = True) -> DataFrame:
+    """Files below a folder whose names end in the suffix: path, mtime, size and, on request, content. Empty files are left out.
+
+    Without content no file is opened, so files of any size are listed; with it a file has to fit into a row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
-    return files.select("path", F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    columns = ["path", F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size")]
+    return files.select(*columns, "content") if content else files.select(*columns)
 
 
-def _texts(store: Column, entry: Column) -> Column:
-    """The entry's strings: each ends with a zero byte. What is not UTF-8 counts as Latin-1."""
-    rest = F.substring(store, entry["offset"].cast("int") + 1, F.length(store))
+def _texts(store: Column, entries: Column, entry: Column) -> Column:
+    """The entry's strings: each ends with a zero byte. What is not UTF-8 counts as Latin-1. Only the bytes up to the next entry are read."""
+    later = F.filter(F.transform(entries, lambda e: e["offset"]), lambda o: o > entry["offset"])
+    end = F.coalesce(F.array_min(later), F.length(store).cast("bigint"))
+    rest = F.substring(store, entry["offset"].cast("int") + 1, (end - entry["offset"]).cast("int"))
     ends = F.split(F.decode(rest, "ISO-8859-1"), "\\x00")
     raw = F.slice(ends, F.lit(1), F.coalesce(entry["count"].cast("int"), F.lit(0)))
     back = F.transform(raw, lambda s: F.encode(s, "ISO-8859-1"))
@@ -87,7 +93,7 @@ def parse(files: DataFrame) -> DataFrame:
     store = F.substring("head", (16 + F.col("n") * ENTRY).cast("int") + 1, F.length("head"))
     split = head.select("path", "mtime", "size", "pkgid", "range", entries.alias("entries"), store.alias("store"))
     find = lambda tag: F.get(F.filter("entries", lambda e: e["tag"] == tag), F.lit(0))
-    texts = lambda tag: _texts(F.col("store"), find(tag))
+    texts = lambda tag: _texts(F.col("store"), F.col("entries"), find(tag))
     numbers = lambda tag: _numbers(F.col("store"), find(tag))
     raw = split.select(
         "path", "mtime", "size", "pkgid", F.col("range.start").alias("header_start"), F.col("range.end").alias("header_end"),
