@@ -58,6 +58,6 @@ def nevra_duplicates(pkgs: DataFrame) -> DataFrame:
     return found.select("nevra", "n", F.array_join(F.transform("x", lambda s: s["h"]), ",").alias("locations"))
 
 
-def keep_last_nevra(pkgs: DataFrame) -> DataFrame:
+def keep_last_nevra(pkgs: DataFrame, time: str = "time_build") -> DataFrame:
     """Of each NEVRA the row built last, then of greatest location."""
-    return first_by(with_nevra(pkgs), ["nevra"], [F.desc("time_file"), F.desc("href")])
+    return first_by(with_nevra(pkgs), ["nevra"], [F.desc(time), F.desc("href")])

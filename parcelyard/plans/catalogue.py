@@ -228,7 +228,7 @@ COARSE = "coarse AS (SELECT * REPLACE ('1' AS version, '1' AS release) FROM pkg)
 
 @query(f"{duck('pkg')}, {COARSE} {first(NEVRA, 'time_file DESC, href DESC', 'coarse')}")
 def nevra_keep_last(spark, sf):
-    return dedup.keep_last_nevra(view(spark, sf, "pkg").withColumns({"version": F.lit("1"), "release": F.lit("1")})).select(SHOWN)
+    return dedup.keep_last_nevra(view(spark, sf, "pkg").withColumns({"version": F.lit("1"), "release": F.lit("1")}), "time_file").select(SHOWN)
 
 
 @query(f"{duck('pkg')} SELECT count(DISTINCT pkgid) AS n FROM pkg")

@@ -68,6 +68,38 @@ def content_stats(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
     return files.select("path", digest(F.col("content"), algorithm).alias("checksum"), F.length("content").cast("long").alias("size"), kind.alias("compression"))
 
 
+def open_content_stats(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """As content_stats, with checksum_open and size_open of what a file holds unpacked; null where nothing is packed.
+
+    Unpacked piece by piece in the task, so that a file's content is never held whole beside its row.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    from parcelyard.sources.unpack import pieces
+
+    rows = content_stats(files, algorithm).join(files.select("path", "content"), "path")
+
+    def run(batches):
+        for batch in batches:
+            sums, sizes = [], []
+            for kind, content in zip(batch.column(3).to_pylist(), batch.column(4)):
+                if kind not in ("gz", "bz2", "xz", "zstd"):
+                    sums.append(None)
+                    sizes.append(None)
+                    continue
+                made, size = hashlib.new("sha1" if algorithm == "sha" else algorithm), 0
+                for piece in pieces(kind, content.as_buffer()):
+                    made.update(piece)
+                    size += len(piece)
+                sums.append(made.hexdigest())
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.string()), pa.array(sizes, pa.int64())], ["path", "checksum", "size", "compression", "checksum_open", "size_open"])
+
+    return rows.select("path", "checksum", "size", "compression", "content").mapInArrow(run, "path string, checksum string, size bigint, compression string, checksum_open string, size_open bigint")
+
+
 def cached_key(signatures: Column, header_id: Column) -> Column:
     """Name under which a package's checksum is cached: digest over its signatures and header id."""
     return F.sha2(F.concat(F.coalesce(signatures, F.lit("")), F.coalesce(header_id, F.lit(""))), 256)

@@ -107,6 +107,12 @@ class Repository:
         named = {"primary": primary, "filelists": filelists, "other": other, "updateinfo": updateinfo}
         return cls(spark, "", {k: v for k, v in named.items() if v})
 
+    @staticmethod
+    def empty(spark: SparkSession) -> DataFrame:
+        """No packages, with the columns that packages have."""
+        rows = spark.createDataFrame([], fields_of(PRIMARY)).select(*primary_fields())
+        return rows.withColumn("changelogs", F.array().cast("array<struct<author:string,date:bigint,changelog:string>>"))
+
     @property
     def records(self) -> DataFrame:
         return read_manifest(self.spark, self.path)
