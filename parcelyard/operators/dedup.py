@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +35,7 @@ def key_of(kind: str) -> Column:
 
 
 def load_keyed(pkgs: DataFrame, kind: str, duplicates: str = "keepfirst") -> DataFrame:
-    """Rows by key: ``keepfirst`` keeps the first of each, ``removeall`` drops keys whose rows differ.
-
-    Over a union of sources ``removeall`` looks at all of them at once.
-    """
+    """Rows by key: ``keepfirst`` keeps the first of each, ``removeall`` drops keys whose rows differ."""
     keyed = pkgs.withColumn("key", key_of(kind))
     if duplicates == "keepfirst":
         return first_by(keyed, ["key"], ["ord"])
@@ -45,6 +44,26 @@ def load_keyed(pkgs: DataFrame, kind: str, duplicates: str = "keepfirst") -> Dat
     return keyed.join(seen.where(F.col("lo") == F.col("hi")).select("key", "ord"), ["key", "ord"], "left_semi")
 
 
+def load_sources(sources: list[DataFrame], kind: str) -> DataFrame:
+    """Several sources loaded one after the other into one keyed set, with ``source``; a key whose rows differ goes.
+
+    A source whose rows of a key differ from each other, or from what the earlier ones left, takes the key out; a later source
+    can put it in again. One row of each key and source is looked at, so what is folded is as short as the list of sources.
+    """
+    same = F.struct("time_file", "size_package", "pkgid", base_name(F.col("href")).alias("file"))
+    rows = reduce(DataFrame.unionByName, [s.withColumns({"source": F.lit(k), "key": key_of(kind)}) for k, s in enumerate(sources)])
+    seen = rows.groupBy("key", "source").agg(F.min(same).alias("lo"), F.max(same).alias("hi"), F.min("ord").alias("ord"))
+    steps = seen.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("source", "lo", "hi", "ord"))).alias("steps"))
+    none = F.lit(None).cast(steps.select(F.get("steps", F.lit(0))).schema[0].dataType)
+
+    def step(held, new):
+        equal = held.isNull() | (held["lo"] == new["lo"])
+        return F.when((new["lo"] == new["hi"]) & equal, F.coalesce(held, new)).otherwise(none)
+
+    left = steps.select("key", F.aggregate("steps", none, step).alias("held")).where(F.col("held").isNotNull())
+    return rows.join(left.select("key", "held.source", "held.ord"), ["key", "source", "ord"], "left_semi")
+
+
 def with_nevra(pkgs: DataFrame) -> DataFrame:
     return pkgs.withColumn("nevra", nevra(*(F.col(c) for c in ("name", "epoch", "version", "release", "arch"))))
 

@@ -215,6 +215,29 @@ def pkgid_conflict_drop(spark, sf):
     return dedup.unique_pkgid(pkgs.unionByName(again)).select(SHOWN)
 
 
+def source(k: int) -> str:
+    """Two thirds of the packages as a source; every fifth of them has another time in each."""
+    return f"SELECT * REPLACE (CASE WHEN ord % 5 = {k} THEN time_file + {k} + 1 ELSE time_file END AS time_file) FROM pkg WHERE ord % 3 <> {k}"
+
+
+ROW = f"time_file || ' ' || size_package || ' ' || pkgid || ' ' || {FILE_NAME.format('href')}"
+STEPS = [f"s{k} AS (SELECT key, min(v) AS lo, max(v) AS hi, min(ord) AS ord FROM (SELECT {FILE_NAME.format('href')} AS key, {ROW} AS v, ord FROM ({source(k)})) GROUP BY 1)" for k in range(3)]
+
+
+@query(
+    f"{duck('pkg')}, {', '.join(STEPS)}, a AS (SELECT key, CASE WHEN lo = hi THEN lo END AS v, CASE WHEN lo = hi THEN ord END AS ord, CASE WHEN lo = hi THEN 0 END AS source FROM s0), "
+    "b AS (SELECT coalesce(a.key, s1.key) AS key, CASE WHEN s1.key IS NULL THEN {v: a.v, o: a.ord, s: a.source} WHEN lo = hi AND a.v IS NULL THEN {v: lo, o: s1.ord, s: 1} WHEN lo = hi AND lo = a.v THEN {v: a.v, o: a.ord, s: a.source} END AS x FROM a FULL JOIN s1 ON a.key = s1.key), "
+    "c AS (SELECT coalesce(b.key, s2.key) AS key, CASE WHEN s2.key IS NULL THEN x WHEN lo = hi AND x.v IS NULL THEN {v: lo, o: s2.ord, s: 2} WHEN lo = hi AND lo = x.v THEN x END AS x FROM b FULL JOIN s2 ON b.key = s2.key) "
+    "SELECT key, x.o AS ord, x.s AS source FROM c WHERE x.o IS NOT NULL"
+)
+def load_sources(spark, sf):
+    """Three sources loaded one after the other by file name: what differs takes the key out, a later source puts it in again."""
+    pkgs = view(spark, sf, "pkg")
+    shifted = lambda k: F.when(F.col("ord") % 5 == k, F.col("time_file") + k + 1).otherwise(F.col("time_file"))
+    sources = [pkgs.where(F.col("ord") % 3 != k).withColumn("time_file", shifted(k)) for k in range(3)]
+    return dedup.load_sources(sources, "filename").select("key", "ord", "source")
+
+
 NEVRA = "name || '-' || coalesce(nullif(epoch, ''), '0') || ':' || version || '-' || release || '.' || arch"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelyard.functions.codes import distro_tag, parse_long
-from parcelyard.operators.dedup import load_keyed, unique_pkgid
+from parcelyard.operators.dedup import load_keyed, load_sources, unique_pkgid
 from parcelyard.operators.metadata import join_parts, join_parts_append, listed_only
 from parcelyard.sources.snippets import FILELISTS, OTHER, PRIMARY, filelists_fields, other_fields, primary_fields, scan_chunks
 
@@ -185,7 +185,9 @@ class Repository:
 
 
 def load_all(repositories: list[Repository], kind: str = "href", duplicates: str = "removeall") -> DataFrame:
-    """Several sources as one keyed set, in their order: keys whose rows differ anywhere in the union go with ``removeall``."""
-    rows = [unique_pkgid(r.packages(append=False)).withColumn("source", F.lit(k)) for k, r in enumerate(repositories)]
-    every = reduce(DataFrame.unionByName, rows)
+    """Several repositories as one keyed set, loaded in their order: see load_sources; with ``keepfirst`` the first row of a key stays."""
+    rows = [unique_pkgid(r.packages(append=False)) for r in repositories]
+    if duplicates == "removeall":
+        return load_sources(rows, kind)
+    every = reduce(DataFrame.unionByName, [r.withColumn("source", F.lit(k)) for k, r in enumerate(rows)])
     return load_keyed(every.withColumn("ord", F.struct("source", F.col("ord").alias("place"))), kind, duplicates)

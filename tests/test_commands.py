@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import lzma
 import os
+from pathlib import Path
 
 import pytest
 import test_headers
@@ -64,8 +65,9 @@ def test_duplicates_and_empty(spark, tmp_path):
     assert commands.build(spark, str(tmp_path / "none")) == 0 and Repository(spark, str(tmp_path / "none")).package_count() == 0
 
 
-@pytest.fixture()
-def sources(spark, tmp_path):
+@pytest.fixture(scope="module")
+def sources(spark, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("sources")
     made = {"a": [("one", "1", "x86_64", "one-1-1.src.rpm"), ("two", "1", "noarch", None)], "b": [("one", "3", "x86_64", "one-3-1.src.rpm"), ("two", "2", "noarch", None), ("bad", "1", "i686", "bad-1-1.src.rpm")]}
     for repo, packages in made.items():
         (tmp_path / repo).mkdir()
@@ -96,7 +98,7 @@ def test_modify_and_convert(spark, tmp_path, sources):
     records = {r.type: r for r in Repository(spark, sources[0]).records.collect()}
     assert set(records) == {"primary", "filelists", "group", "mods"} and records["mods"].href == "repodata/mods.yaml"
     group = records["group"]
-    data = (tmp_path / "a" / group.href).read_bytes()
+    data = Path(sources[0], group.href).read_bytes()
     assert group.href == f"repodata/{group.checksum}-comps.xml.gz" and gzip.decompress(data) == b"<comps/>" and group.checksum == hashlib.sha256(data).hexdigest()
     assert (group.checksum_open, group.size_open, group["size"]) == (hashlib.sha256(b"<comps/>").hexdigest(), 8, len(data))
     assert Repository(spark, sources[0]).packages().where("changelogs is null").count() == 2
@@ -105,7 +107,7 @@ def test_modify_and_convert(spark, tmp_path, sources):
     (tmp_path / "batch").write_text(f"[{tmp_path}/comps.xml]\ntype=extra\ncompress-type=xz\n[group]\ntype=group\nremove=true\n")
     commands.main(["modify", sources[0], "--batchfile", str(tmp_path / "batch")])
     records = {r.type: r for r in Repository(spark, sources[0]).records.collect()}
-    assert set(records) == {"primary", "filelists", "extra", "mods"} and lzma.decompress((tmp_path / "a" / records["extra"].href).read_bytes()) == b"<comps/>"
+    assert set(records) == {"primary", "filelists", "extra", "mods"} and lzma.decompress(Path(sources[0], records["extra"].href).read_bytes()) == b"<comps/>"
 
 
 def test_open_contents(spark, tmp_path):
