@@ -38,6 +38,10 @@ SKETCH_BITS, PIECES, FREQUENT = 18, 64, 1.2
 STARS = 6
 #: Points of an R-tree leaf, and members of a block that one tile holds.
 LEAF, TILE = 24, 512
+#: Members of blocks of one least component that one task searches together, and pairs that it remembers so as to tell them once.
+DEALT, SEEN = 100_000, 300_000
+#: Further rounds of stars, with other heads, among what the first has left apart.
+ROUNDS = 1
 _SPACE = word_table(ASCII_SPACE)
 
 
@@ -340,10 +344,10 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that some block's R-trees let through.
 
     Rows of one (block, tile pair) are sorted together and searched as they stream by; no more than two tiles of a block
-    are held at once.
+    are held at once. Near copies share most of their blocks; as such blocks are dealt together, a pair of theirs is told once.
     """
 
-    def search(rows):
+    def search(rows, seen):
         rows = list({r[0]: r for r in rows}.values())
         if len(rows) < 2:
             return
@@ -354,29 +358,34 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
         sizes = np.array([r[2] for r in rows])
         points = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, GROUPS)
         for x, y in RTree(points, sizes, comp).pairs(percent):
-            yield from zip(np.minimum(keys[x], keys[y]).tolist(), np.maximum(keys[x], keys[y]).tolist())
+            for pair in zip(np.minimum(keys[x], keys[y]).tolist(), np.maximum(keys[x], keys[y]).tolist()):
+                if pair not in seen:
+                    seen.add(pair)
+                    yield pair
 
     def run(batches):
-        key, held, out = None, [], []
+        key, held, out, seen = (None, None, None), [], [], set()
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for block, pair, *row in zip(*cols):
-                if (block, pair) != key:
-                    out += search(held)
-                    key, held = (block, pair), []
+            cols = [batch.column(k).to_pylist() for k in range(7)]
+            for deal, block, pair, *row in zip(*cols):
+                if (deal, block, pair) != key:
+                    out += search(held, seen)
+                    if deal != key[0] or len(seen) > SEEN:
+                        seen = set()
+                    key, held = (deal, block, pair), []
                     if len(out) > 4096:
                         yield as_batch(out)
                         out = []
                 held.append(row)
-        out += search(held)
+        out += search(held, seen)
         if out:
             yield as_batch(out)
 
     def as_batch(pairs):
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    rows = members.select("token", "pair", "key", "component", "n", "point")
-    return rows.repartition("token", "pair").sortWithinPartitions("token", "pair").mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = members.select("deal", "token", "pair", "key", "component", "n", "point")
+    return rows.repartition("deal").sortWithinPartitions("deal", "token", "pair").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,28 +411,46 @@ def classes(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_i
         repeated = scratch.store(told.groupBy("digest").agg(F.min("id").alias("rep"), F.min("key").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "rep", "first"))
         members = told.select("key", "id", "digest").join(repeated, "digest", "left")
         members = scratch.store(members.select("key", "id", F.coalesce("rep", "id").alias("rep"), F.coalesce("first", "key").alias("first")))
-        sets = scratch.store(table.select("key", "n", "point", "stars", "tokens").join(members.where("key = first").select("key"), "key", "left_semi"))
+        own = members.where("key = first").select("key")
         # Stars: each set against the first of its min-hash blocks.
-        heads = sets.select("key", F.explode("stars").alias("star")).distinct()
+        heads = scratch.store(table.select("key", "stars").join(own, "key", "left_semi").select("key", F.explode(F.array_distinct("stars")).alias("star")))
         first = heads.groupBy("star").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("star", "b")
         pairs = heads.join(first, "star").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
         # The points are a stored side of their own, so that a join can split the pairs of a star's head, however many there are.
-        points = sets.select("key", "n", "point")
-        pairs = pairs.join(points.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
-        pairs = pairs.join(points.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
-        star_links = verify(scratch.store(_bounded(pairs, percent)), table, percent, n, scratch)
-        linked = components(star_links, scratch=scratch).withColumnRenamed("id", "key")
+        points = table.select("key", "n", "point")
+
+        def checked(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.join(points.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
+            pairs = pairs.join(points.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
+            return verify(scratch.store(_bounded(pairs, percent)), table, percent, n, scratch)
+
+        def labelled() -> DataFrame:
+            linked = components(star_links, scratch=scratch).withColumnRenamed("id", "key")
+            return own.join(linked, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+
+        star_links = checked(pairs)
+        known = scratch.store(labelled())
+        for k in range(ROUNDS):
+            mine = heads.join(known, "key")
+            other = mine.groupBy("star").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), F.col("key").alias("b"), F.col("component").alias("of"))).alias("head"))
+            other = other.where("x < y").select("star", "head.b", "head.of")
+            star_links = star_links.unionByName(checked(mine.join(other, "star").where("component <> of").select(F.col("key").alias("a"), "b").distinct()))
+            known = scratch.store(labelled())
         # Blocks by prefix token; those of one component only are done.
-        held = scratch.store(sets.select("key", "tokens").join(linked, "key", "left").select("key", F.coalesce("component", "key").alias("component"), "tokens"))
+        held = scratch.store(table.select("key", "tokens").join(known, "key"))
         entries = held.select("key", "component", F.explode("tokens").alias("token"))
-        blocks = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("token", "m")
+        blocks = entries.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("token", "m", "x")
         entries = scratch.store(entries.join(blocks, "token"))
-        usual = entries.where(F.col("m") <= TILE).select("token", F.lit(0).cast("bigint").alias("pair"), "key", "component").join(points, "key")
-        many = entries.where(F.col("m") > TILE).select("token", "key", "component").join(sets.select("key", "n", "point", F.get("stars", F.lit(0)).alias("star")), "key")
+        # Blocks of one least component are searched together, unless they are too many members.
+        heavy = entries.where(F.col("m") <= TILE).groupBy("x").agg(F.count("*").alias("w")).where(F.col("w") > DEALT)
+        usual = entries.where(F.col("m") <= TILE).join(small(heavy), "x", "left")
+        part = F.when(F.col("w").isNotNull(), F.pmod(F.xxhash64("token"), F.ceil(F.col("w") / DEALT))).otherwise(0)
+        usual = usual.select(F.xxhash64("x", part).alias("deal"), "token", F.lit(0).cast("bigint").alias("pair"), "key", "component").join(points, "key")
+        many = entries.where(F.col("m") > TILE).select("token", "key", "component").join(table.select("key", "n", "point", F.get("stars", F.lit(0)).alias("star")), "key")
         columns = ["token", "pair", "key", "component", "n", "point"]
-        blocked = usual.select(columns)
+        blocked = usual.select("deal", *columns)
         if not many.isEmpty():
-            blocked = blocked.unionByName(large_blocks(many, percent, scratch).select(columns))
+            blocked = blocked.unionByName(large_blocks(many, percent, scratch).select(F.xxhash64("token", "pair").alias("deal"), *columns))
         candidates = scratch.store(_block_pairs(blocked, percent))
         block_links = verify(candidates, table, percent, n, scratch)
         # All sets of an id hang together.
