@@ -78,5 +78,5 @@ def nevra_duplicates(pkgs: DataFrame) -> DataFrame:
 
 
 def keep_last_nevra(pkgs: DataFrame, time: str = "time_build") -> DataFrame:
-    """Of each NEVRA the row built last, then of greatest location."""
-    return first_by(with_nevra(pkgs), ["nevra"], [F.desc(time), F.desc("href")])
+    """Of each NEVRA the row built last, then of greatest location, then the last in document order, if there is an ``ord``."""
+    return first_by(with_nevra(pkgs), ["nevra"], [F.desc(c) for c in (time, "href", "ord") if c != "ord" or c in pkgs.columns])
