@@ -10,13 +10,13 @@ from parcelyard.scratch import Scratch
 _ROW = (1 << 33) - 1
 
 
-def ranged(df: DataFrame, order: list, scratch: Scratch) -> DataFrame:
+def ranged(df: DataFrame, order: list, scratch: Scratch, keep: bool = False) -> DataFrame:
     """The rows sorted over the whole table and stored, with ``_part`` (which range) and ``_row`` (place in it, from 0).
 
     Stored, as ranges are drawn anew each time that a sort is computed.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))
-    return scratch.store(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_row")))
+    return scratch.store(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_row")), keep)
 
 
 def _offsets(parts: DataFrame, column: str) -> DataFrame:
@@ -26,12 +26,12 @@ def _offsets(parts: DataFrame, column: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:
-    """The rows with their place (from 1) in an order that has no ties."""
-    with Scratch(df.sparkSession) as scratch:
-        rows = ranged(df, order, scratch)
-        sizes = _offsets(rows.groupBy("_part").agg(F.count("*").alias("_n")), "_n").select("_part", "_offset")
-        out = rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_offset") + F.col("_row") + 1).drop("_part", "_row", "_offset")
-        return Scratch(df.sparkSession).store(out, keep=True)
+    """The rows with their place (from 1) in an order that has no ties. They are stored once; what reads the result reads only
+    the columns that it needs."""
+    kept = Scratch(df.sparkSession)
+    rows = ranged(df, order, kept, keep=True)
+    sizes = kept.store(_offsets(rows.groupBy("_part").agg(F.count("*").alias("_n")), "_n").select("_part", "_offset"), keep=True)
+    return rows.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_offset") + F.col("_row") + 1).drop("_part", "_row", "_offset")
 
 
 def changes(df: DataFrame, order: list, column: str, name: str) -> DataFrame:
