@@ -40,6 +40,8 @@ STARS = 6
 LEAF, TILE = 24, 512
 #: Members of blocks of one least component that one task searches together, and pairs that it remembers so as to tell them once.
 DEALT, SEEN = 100_000, 300_000
+#: Pairs of a deal, beside one for each of its sets, from which on it is dense: its pairs are compared where they are found.
+DENSE = 256
 #: Further rounds of stars, with other heads, among what the first has left apart; none, as a round shuffles more than it saves.
 ROUNDS = 0
 _SPACE = word_table(ASCII_SPACE)
@@ -340,52 +342,130 @@ def large_blocks(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return own.select(columns).unionByName(others.select(columns))
 
 
+def _groups(batches, n_key: int):
+    """Rows of sorted batches as (key, rows): those that agree in the first n_key columns, which come together."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if row[:n_key] != key:
+                if held:
+                    yield key, held
+                key, held = row[:n_key], []
+            held.append(row[n_key:])
+    if held:
+        yield key, held
+
+
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that some block's R-trees let through.
+    """Rows (a, b, deal): pairs of different components that some block's R-trees let through, or a dense deal without its pairs.
 
     Rows of one (block, tile pair) are sorted together and searched as they stream by; no more than two tiles of a block
     are held at once. Near copies share most of their blocks; as such blocks are dealt together, a pair of theirs is told once.
+    A deal that has more pairs than sets (and DENSE) is told as one row and left to _dense_links.
     """
 
-    def search(rows, seen):
+    def search(rows):
         rows = list({r[0]: r for r in rows}.values())
-        if len(rows) < 2:
-            return
-        keys = np.array([r[0] for r in rows])
         comp = np.array([r[1] for r in rows])
-        if (comp == comp[0]).all():
+        if len(rows) < 2 or (comp == comp[0]).all():
             return
-        sizes = np.array([r[2] for r in rows])
+        keys, sizes = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
         points = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, GROUPS)
         for x, y in RTree(points, sizes, comp).pairs(percent):
-            for pair in zip(np.minimum(keys[x], keys[y]).tolist(), np.maximum(keys[x], keys[y]).tolist()):
-                if pair not in seen:
-                    seen.add(pair)
-                    yield pair
+            yield zip(np.minimum(keys[x], keys[y]).tolist(), np.maximum(keys[x], keys[y]).tolist())
 
     def run(batches):
-        key, held, out, seen = (None, None, None), [], [], set()
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            for deal, block, pair, *row in zip(*cols):
-                if (deal, block, pair) != key:
-                    out += search(held, seen)
-                    if deal != key[0] or len(seen) > SEEN:
-                        seen = set()
-                    key, held = (deal, block, pair), []
-                    if len(out) > 4096:
-                        yield as_batch(out)
-                        out = []
-                held.append(row)
-        out += search(held, seen)
+        out, deal, sets, seen, dense = [], None, set(), set(), False
+        for (of, _, _), rows in _groups(batches, 3):
+            if of != deal:
+                out += [(None, None, deal)] if dense else [(*p, None) for p in seen]
+                deal, sets, seen, dense = of, set(), set(), False
+                if len(out) > 4096:
+                    yield as_batch(out)
+                    out = []
+            sets.update(r[0] for r in rows)
+            for found in () if dense else search(rows):
+                seen.update(found)
+                if dense := len(seen) > DENSE + len(sets):
+                    break
+        out += [(None, None, deal)] if dense else [(*p, None) for p in seen]
         if out:
             yield as_batch(out)
 
-    def as_batch(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    def as_batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "deal"])
 
     rows = members.select("deal", "token", "pair", "key", "component", "n", "point")
-    return rows.repartition("deal").sortWithinPartitions("deal", "token", "pair").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("deal").sortWithinPartitions("deal", "token", "pair").mapInArrow(run, "a bigint, b bigint, deal bigint").distinct()
+
+
+def _dense_links(members: DataFrame, table: DataFrame, percent: int, n: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the components of the sets of each deal, compared on the whole texts.
+
+    Each text of a deal comes once, before its blocks. A pair is compared as it is found, and what is linked by then is one
+    component, so its pairs are left out: a deal tells fewer links than it has sets. SEEN pairs that don't link are remembered.
+    """
+    blocks = scratch.store(members.select("deal", "token", "pair", "key", "component"))
+    wanted = blocks.select("deal", "key").distinct().join(table.select("key", "z"), "key")
+    none = lambda kind: F.lit(None).cast(kind)
+    first = wanted.select("deal", none("bigint").alias("token"), none("bigint").alias("pair"), "key", none("bigint").alias("component"), "z")
+    rows = first.unionByName(blocks.withColumn("z", none("binary")))
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        out, deal, packed, known, parent, apart = [], None, {}, {}, {}, set()
+
+        def tokens(key):
+            found = known.get(key)
+            if found is None:
+                if len(known) >= 2 * TILE:
+                    known.clear()
+                text = np.frombuffer(unpack(packed[key]), np.uint8)
+                found = known[key] = shingle_sets(text, np.array([0, len(text)]), n)[0]
+            return found
+
+        def root(c):
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        def links(at):
+            keys = list(at)
+            comp, of = np.array([root(c) for c in at.values()]), list(at.values())
+            if len(keys) < 2 or (comp == comp[0]).all():
+                return
+            sets = [tokens(k) for k in keys]
+            sizes, points = np.array([len(s) for s in sets]), np.stack([point(s) for s in sets])
+            for x, y in RTree(points, sizes, comp).pairs(percent):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    u, v = root(of[i]), root(of[j])
+                    pair = (min(keys[i], keys[j]), max(keys[i], keys[j]))
+                    if u == v or pair in apart:
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common and 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                        parent[max(u, v)] = min(u, v)
+                        yield pair
+                    elif len(apart) < SEEN:
+                        apart.add(pair)
+
+        for (of, token, _), rows in _groups((b for batch in batches for b in slices([batch], 5)), 3):
+            if of != deal:
+                deal, packed, known, parent, apart = of, {}, {}, {}, set()
+            if token is None:
+                packed.update((r[0], r[2]) for r in rows)
+            else:
+                out += links({r[0]: r[1] for r in rows})
+            if len(out) > 4096:
+                yield as_batch(out)
+                out = []
+        if out:
+            yield as_batch(out)
+
+    def as_batch(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return scratch.store(rows.repartition("deal").sortWithinPartitions("deal", F.col("token").asc_nulls_first(), "pair").mapInArrow(run, "a bigint, b bigint"))
 
 
 def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,9 +530,16 @@ def classes(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_i
         columns = ["token", "pair", "key", "component", "n", "point"]
         blocked = usual.select("deal", *columns)
         if not many.isEmpty():
-            blocked = blocked.unionByName(large_blocks(many, percent, scratch).select(F.xxhash64("token", "pair").alias("deal"), *columns))
+            # Tiles are named alike in all blocks, so near copies meet in one deal whatever token they share.
+            tiled = scratch.store(large_blocks(many, percent, scratch))
+            heavy = tiled.groupBy("pair").agg(F.count("*").alias("w")).where(F.col("w") > DEALT)
+            tiled = tiled.join(small(heavy), "pair", "left")
+            blocked = blocked.unionByName(tiled.select(F.xxhash64("pair", F.when(F.col("w").isNotNull(), F.pmod(F.xxhash64("token"), F.ceil(F.col("w") / DEALT))).otherwise(0), F.lit(1)).alias("deal"), *columns))
         candidates = scratch.store(_block_pairs(blocked, percent))
-        block_links = verify(candidates, table, percent, n, scratch)
+        block_links = verify(candidates.where("deal is null").select("a", "b"), table, percent, n, scratch)
+        dense = candidates.where("deal is not null").select("deal")
+        if not dense.isEmpty():
+            block_links = block_links.unionByName(_dense_links(blocked.join(small(dense), "deal", "left_semi"), table, percent, n, scratch))
         # All sets of an id hang together.
         several = members.groupBy("id").agg(F.min("first").alias("b"), F.max("first").alias("last")).where("b < last").select("id", "b")
         same_id = members.join(several, "id").where("first <> b").select(F.col("first").alias("a"), "b").distinct()
