@@ -4,6 +4,8 @@ Two engines work on one public vocabulary file:
 
 * ``SegmentTreeEncoder`` keeps the ranks of adjacent pairs in a segment tree whose root holds the leftmost pair of
   lowest rank; each merge updates two or three leaves in logarithmic time, until the root holds no mergeable pair.
+  Pre-tokens that a slice brings anew are merged together: their trees are columns of one array, every step makes the next
+  merge of each of them, and the levels of all trees are renewed by whole-array minima.
 * ``HeapCounter`` only counts: a heap of ranked pairs over a doubly linked list of symbols; the count is the number
   of starting symbols less the merges, and no identifier is made.
 
@@ -20,7 +22,8 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,14 @@ from parcelyard.llm.text import slices
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens of the younger half of a memo; a full half becomes the older one. The two hold some 50 MB at most.
+#: Pre-tokens of the younger half of a memo; a full half becomes the older one. The two hold some 50 MB, and what one slice may add.
 MEMO = 100_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_BYTES = 64
+#: Pre-tokens of at most so many bytes are merged together, if there are so many of about their length; the others one by one.
+TOGETHER_BYTES, TOGETHER = 256, 24
+#: Leaves of trees that are renewed at once; their arrays stay in a core's cache.
+LEAVES = 1 << 16
 
 
 def byte_symbols() -> list[str]:
@@ -99,7 +106,7 @@ class Memo:
         self.v, self.memo, self.older = vocabulary, {}, {}
 
     def turn(self) -> None:
-        """Called between texts: a full younger half becomes the older one."""
+        """Called between texts or slices of texts: a full younger half becomes the older one."""
         if len(self.memo) >= MEMO:
             self.memo, self.older = {}, self.memo
 
@@ -113,10 +120,60 @@ class Memo:
         return found
 
 
+class PairRanks:
+    """Ranks of whole arrays of pairs: a table in which a pair stands at its hash or in the next free place after it."""
+
+    EMPTY = -2
+
+    def __init__(self, rank: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(rank)) for x in (rank.keys(), rank.values()))
+        bits = max(4, (4 * len(rank)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, self.EMPTY, np.int64), np.full(1 << bits, -1, np.int32)
+        places, todo = self.hash(keys), np.arange(len(keys))
+        while len(todo):
+            _, first = np.unique(places[todo], return_index=True)
+            placed = todo[first]
+            placed = placed[self.keys[places[placed]] == self.EMPTY]
+            self.keys[places[placed]], self.values[places[placed]] = keys[placed], values[placed]
+            todo = np.setdiff1d(todo, placed, assume_unique=True)
+            places[todo] = places[todo] + 1 & self.mask
+
+    def hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; -1 for pairs without one, also where an id is -1."""
+        keys = left.astype(np.int64) << 32 | right
+        places = self.hash(keys)
+        there = self.keys[places]
+        hit = there == keys
+        ranks = np.where(hit, self.values[places], np.int32(-1))
+        todo = np.flatnonzero(~hit & (there != self.EMPTY))
+        while len(todo):
+            places[todo] = at = places[todo] + 1 & self.mask
+            there = self.keys[at]
+            hit = there == keys[todo]
+            ranks[todo[hit]] = self.values[at[hit]]
+            todo = todo[~hit & (there != self.EMPTY)]
+        return ranks
+
+
 class SegmentTreeEncoder(Memo):
     """Encodes pre-tokens by repeated leftmost lowest-rank merges found at the root of a segment tree."""
 
     NONE = 1 << 62
+    #: The same in the 32 bits of a tree that is a column.
+    NONE_32 = np.int32((1 << 31) - 1)
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary)
+        self.ranks = PairRanks(vocabulary.rank)
+        self.first, self.merged = np.array(vocabulary.first, np.int32), np.array(vocabulary.merged, np.int32)
+        # One object for each id, whatever the number of findings that hold it.
+        self.same = list(range(max(vocabulary.bytes) + 1))
+        # Keys of 32 bits hold a rank and a place.
+        self.together = TOGETHER_BYTES if len(self.merged) < (1 << 31) // TOGETHER_BYTES - 1 else 0
 
     def find(self, piece: str) -> tuple[int, ...]:
         first = self.v.first
@@ -171,20 +228,91 @@ class SegmentTreeEncoder(Memo):
                 high >>= 1
         return tuple([x for x in ids if x >= 0])
 
-    def encode(self, text: str) -> list[int]:
+    def merge_together(self, data: list[bytes], size: int) -> Iterator[tuple[int, ...]]:
+        """The ids of each of the byte strings, which are of at most ``size`` bytes, a power of two."""
+        n, none, mask = len(data), self.NONE_32, size - 1
+        bits = mask.bit_length()
+        lengths = np.array([len(d) for d in data])
+        # Symbols stand at 1 to their number, and -1 before and behind them; the pair that starts at a place has its leaf.
+        ids = np.full((size + 2, n), -1, np.int32)
+        ids[1:-1] = self.first[np.array(data, f"S{size}").view(np.uint8).reshape(n, size).T]
+        ids[1:-1][np.arange(size)[:, None] >= lengths] = -1
+        left, right = (np.repeat(np.arange(k, size + 2 + k, dtype=np.int32), n) for k in (-1, 1))
+        # A last row takes what is written for the place behind the last leaf.
+        tree = np.full((2 * size + 1, n), none, np.int32)
+        r = self.ranks.find(ids[1:size].ravel(), ids[2 : size + 1].ravel()).reshape(size - 1, n)
+        tree[size + 1 : 2 * size] = np.where(r >= 0, r << bits | np.arange(1, size, dtype=np.int32)[:, None], none)
+        symbols, leaves = ids.reshape(-1), tree[size:].reshape(-1)
+        while True:
+            k = size
+            while k > 1:
+                np.minimum(tree[k : 2 * k : 2], tree[k + 1 : 2 * k : 2], out=tree[k >> 1 : k])
+                k >>= 1
+            column = np.flatnonzero(tree[1] != none)
+            if not len(column):
+                break
+            root = tree[1][column]
+            i = root & mask
+            at = i * n + column
+            gone = right[at] * n + column
+            new = self.merged[root >> bits]
+            after = right[gone]
+            before = left[at]
+            next_at, before_at = after * n + column, before * n + column
+            symbols[at], symbols[gone] = new, -1
+            right[at], left[next_at] = after, i
+            leaves[gone] = none
+            r = self.ranks.find(np.concatenate([new, symbols[before_at]]), np.concatenate([symbols[next_at], new]))
+            made = np.where(r >= 0, r << bits | np.concatenate([i, before]), none)
+            leaves[at], leaves[before_at] = made[: len(i)], made[len(i) :]
+        kept = ids.T >= 0
+        flat = list(map(self.same.__getitem__, ids.T[kept].tolist()))
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        return (tuple(flat[a:b]) for a, b in zip([0, *ends], ends))
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Puts the findings for pre-tokens into the younger half of the memo."""
+        groups: dict[int, list[str]] = {}
+        for piece in pieces:
+            found = self.older.get(piece)
+            if found is not None:
+                self.memo[piece] = found
+            else:
+                size = len(piece) if piece.isascii() else len(piece.encode("utf-8"))
+                groups.setdefault((max(size, 8) - 1).bit_length(), []).append(piece)
+        for bits, group in groups.items():
+            if len(group) < TOGETHER or 1 << bits > self.together:
+                self.memo.update((piece, self.find(piece)) for piece in group)
+                continue
+            for k in range(0, len(group), LEAVES >> bits):
+                part = group[k : k + (LEAVES >> bits)]
+                self.memo.update(zip(part, self.merge_together([p.encode("utf-8") for p in part], 1 << bits)))
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; what the texts bring anew is learnt together."""
         self.turn()
-        out: list[int] = []
-        memo, word = self.memo, self.word
-        for special, pieces in self.v.pieces(text):
-            if special >= 0:
-                out.append(special)
-            for piece in pieces:
-                out += memo.get(piece) or word(piece)
+        parts = [list(self.v.pieces(text)) for text in texts]
+        new = set().union(*(pieces for text in parts for _, pieces in text)).difference(self.memo)
+        self.learn(new)
+        found, out = self.memo.__getitem__, []
+        for text in parts:
+            ids: list[int] = []
+            for special, pieces in text:
+                if special >= 0:
+                    ids.append(special)
+                ids += chain.from_iterable(map(found, pieces))
+            out.append(ids)
+        for piece in new:
+            if len(piece) > MEMO_BYTES:
+                del self.memo[piece]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids) -> str:
         table = self.v.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
+        return b"".join(map(table.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 class HeapCounter(Memo):
@@ -254,16 +382,16 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True, keep: tuple[str, .
 
     def run(batches):
         encoder, sha = SegmentTreeEncoder(Vocabulary(path)), hashlib.sha256
+        decimal = list(map(str, encoder.same)).__getitem__
         for batch in slices(batches, 1):
             ends, flat, ids_sha, text_sha, same = [0], array("i"), [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                ids = encoder.encode(text)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for text, ids in zip(texts, encoder.encode_all(texts)):
                 decoded = encoder.decode(ids)
                 ends.append(ends[-1] + len(ids))
                 if with_ids:
                     flat.extend(ids)
-                ids_sha.append(sha(repr(ids)[1:-1].replace(" ", "").encode()).hexdigest())
+                ids_sha.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                 text_sha.append(sha(decoded.encode("utf-8")).hexdigest())
                 same.append(decoded == text)
             ends = np.array(ends, np.int32)

@@ -67,6 +67,42 @@ def test_bpe_memo_turns_over(monkeypatch, memo):
     assert [encoder.decode(encoder.encode(t)) for t in texts] == texts
 
 
+def test_bpe_merges_new_pre_tokens_together(monkeypatch):
+    """Each new pre-token took a tree and a walk of its own; only the rare lengths still do. The ids are the library's."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    parts = ["th", "e", "tion", "ß", "é", "中", "मा", "\0", "\x7f", "x", "aaaa", "ing", "Q", "!!", "12", "\U0001f600"]
+    words = ["".join(rng.choices(parts, k=rng.choice([1, 2, 3, 5, 8, 13, 40]))) for _ in range(3000)]
+    words += [c * n for c in ("a", "é", "!", "7", "\0") for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 127, 128, 129, 255, 256, 257, 600)]
+    rng.shuffle(words)
+    texts = ["", *(" ".join(words[k : k + 40]) for k in range(0, len(words), 40)), "<|endoftext|>the theme<|endoftext|>"]
+    vocabulary = bpe.Vocabulary(queries.vocabulary_path())
+    alone = []
+    merge = bpe.SegmentTreeEncoder.merge
+    monkeypatch.setattr(bpe.SegmentTreeEncoder, "merge", lambda self, ids: alone.append(0) or merge(self, ids))
+    encoder = bpe.SegmentTreeEncoder(vocabulary)
+    got = encoder.encode_all(texts)
+    assert len(alone) < 0.05 * len({p for t in texts for p in bpe.pre_tokens(t)})
+    library = Tokenizer.from_file(queries.vocabulary_path())
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(len(p) <= bpe.MEMO_BYTES for p in encoder.memo)
+    pieces = {p for t in texts for p in bpe.pre_tokens(t)}
+    encoder.memo.clear()
+    encoder.learn(pieces)
+    assert encoder.memo == {p: merge(encoder, [vocabulary.first[b] for b in p.encode()]) for p in pieces}
+
+
+def test_bpe_pair_ranks_by_array():
+    """Pairs that share a place are told apart; ids of -1, unknown pairs and an empty table have no rank."""
+    rng = random.Random(5)
+    for n in (0, 1, 3000):
+        rank = {rng.randrange(90) << 32 | rng.randrange(90): k for k in range(n)}
+        table = bpe.PairRanks(rank)
+        left, right = np.repeat(np.arange(-1, 90, dtype=np.int32), 91), np.tile(np.arange(-1, 90, dtype=np.int32), 91)
+        assert table.find(left, right).tolist() == [rank.get(a << 32 | b, -1) if min(a, b) >= 0 else -1 for a, b in zip(left.tolist(), right.tolist())]
+
+
 def test_bpe_keeps_columns(spark, awkward):
     rows = awkward.withColumn("n_tokens", F.lit("mine"))
     got = bpe.encode(rows, queries.vocabulary_path(), keep=("source", "n_tokens", "found"))
