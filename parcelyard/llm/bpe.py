@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from parcelyard.llm.shared import bounded_batches
 from parcelyard.llm.text import slices
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
@@ -376,6 +377,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True, keep: tuple[str, .
 
     No shuffle; one pass over the texts. Null texts are encoded as empty ones: no ids, digest of the empty string.
     """
+    bounded_batches(docs.sparkSession)
     made = ["n_tokens"] + ["token_ids"] * with_ids + ["ids_sha256", "decoded_sha256", "round_trip"]
     keep = tuple(c for c in keep if c not in (*made, id_col))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"k{k}") for k, c in enumerate(keep)))

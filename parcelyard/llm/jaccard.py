@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelyard.llm.components import components
-from parcelyard.llm.shared import Scratch, small
+from parcelyard.llm.shared import Scratch, bounded_batches, small
 from parcelyard.llm.text import ASCII_SPACE, U64, as_bytes, chunks, lower_ascii, mix, slices, span_hashes, word_table, words
 
 GROUPS, FULL = 256, 255
@@ -482,6 +482,7 @@ def join(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
 def classes(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As join, with ``first``, a number that rows of equal sets share (null for empty sets and null ids), and ``sig``, the
     xxhash64 of the text. A stored table."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
         table = points_table(rows, token_counts(rows, n), percent, n, scratch)

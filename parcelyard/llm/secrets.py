@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parcelyard.llm.shared import bounded_batches
 from parcelyard.llm.text import slices
 
 #: The base patterns; letters of the assignment's name in either case.
@@ -236,6 +237,7 @@ def scan(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id"
     input's other columns are left out, except with ``keep_text``, which keeps them all and replaces each found span in the
     text by ``<SECRET>``; a column of docs named like ``found_col`` is left out.
     """
+    bounded_batches(docs.sparkSession)
     network = network or train()
 
     def run(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelyard.llm.shared import Scratch
+from parcelyard.llm.shared import Scratch, bounded_batches
 from parcelyard.llm.text import U64, as_bytes, chunks, lower_ascii, mix, slices, span_hashes, word_table, words
 
 #: Base buckets; TIMES: a term stands for "at least so often in the text", so a bucket is a base and a place in TIMES.
@@ -110,6 +110,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The chosen ids (bounded by ``most``) are broadcast and one text of each is stored. Document counts of the terms and of
     their pairs are summed on the executors for screening; only the screened terms of the chosen texts come to the driver.
     """
+    bounded_batches(docs.sparkSession)
     truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = truth.orderBy(F.xxhash64("id"), "id").limit(most)
     with Scratch(docs.sparkSession) as scratch:
@@ -281,6 +282,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     Null and empty texts have the score of the bias. A column of docs named like ``score_col`` is left out.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     wanted = docs.sparkSession.sparkContext.broadcast(machine.wanted())
     rows = docs.drop(score_col) if keep else docs.select(id_col, text_col)
